@@ -109,7 +109,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keyed: bool = False) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A window is ``WINDOW`` consecutive words of an item; an item of fewer words is
@@ -117,7 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     per row of ``docs``, repeated rows and null ids included; a null or empty text
     has no words and no hits. Items without words have no window; an item without
     item_id hits but is not listed. An empty benchmark contaminates nothing. Other
-    columns are ignored.
+    columns are ignored. ``keyed`` adds text_key, the xxhash64 of the text.
     """
     wins = settle(benchmark_windows(benchmark).withColumn("set_id", F.md5(F.to_json("items"))), "fingerprints")
     sets = wins.select("set_id", "items").dropDuplicates(["set_id"])
@@ -156,4 +156,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+        *(["text_key"] if keyed else []),
     ).drop("copy")
