@@ -1,25 +1,28 @@
 """Near-duplicate documents: similarity sketches, banding, exact verification, components.
 
 1. One pass over the texts gives each row a 128-bit key of its word sequence, the
-   size of its shingle set, its band keys and one byte of each sketch bin.
+   size of its shingle set and its band keys.
 2. Rows with the same key are one *representative* (least id). Copies therefore
    never meet as pairs, however many there are.
 3. Star links: in each band bucket all members are compared with the least member
    on their full shingle sets. Verified links are joined to components.
 4. What is left are members of one bucket in different components. They meet in
-   cells of a bounded number of members (rest x main, rest x rest); a cell keeps a
-   pair only in the first band that it shares and only if the sketches agree in as
-   many bins as a linked pair has, less 4.8 standard deviations. Survivors are
-   verified on full sets too, and the components joined.
+   cells of a bounded number of members (rest x main, rest x rest) with finer
+   sketches; a cell keeps a pair only in the first band that it shares and only if
+   the fine sketches agree in as many bins as those of a linked pair, less 4.8
+   standard deviations. Survivors are verified on full sets too, and the components
+   joined.
 
 With 32 bands of 4 bins, a pair at similarity 0.8 shares no band with probability
-5e-8; the sketch test adds less than 1e-6. No pair is linked without the full sets.
+5e-8; each of the two sketch tests adds less than 1e-6. No pair is linked without the
+full sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,9 @@ from twinsieve.llm.components import components
 from twinsieve.llm.shared import settle
 from twinsieve.llm.shingles import Sketcher, WordHashes, overlap, shingle_set, words_of
 
-BINS, BANDS, ROWS = 256, 32, 4
+BINS, BANDS, ROWS = 128, 32, 4
+#: Bins of the fine sketch, one byte of each of which is kept, and of its first part, which is tried first.
+FINE, COARSE = 256, 256
 #: Most members of one side of a cell.
 CELL = 1024
 
@@ -45,19 +50,18 @@ def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
                 words = words_of(text if isinstance(text, str) else None)
                 doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
                 if not words:
-                    out.append((doc_id, None, None, 0, None, None))
+                    out.append((doc_id, None, None, 0, None))
                     continue
                 key = xxhash.xxh3_128_intdigest(b" ".join(words))
                 s = shingle_set(words, shingle, known)
-                sk = sketcher.sketch(s)
                 signed = np.frombuffer(key.to_bytes(16, "little"), np.int64)
-                out.append((doc_id, int(signed[0]), int(signed[1]), len(s), sketcher.band_keys(sk).view(np.int64), (sk & np.uint64(255)).astype(np.uint8).tobytes()))
-            frame = pd.DataFrame(out, columns=["doc_id", "k1", "k2", "n", "bands", "sketch"])
+                out.append((doc_id, int(signed[0]), int(signed[1]), len(s), sketcher.band_keys(sketcher.sketch(s)).view(np.int64)))
+            frame = pd.DataFrame(out, columns=["doc_id", "k1", "k2", "n", "bands"])
             for c in ("doc_id", "k1", "k2"):
                 frame[c] = pd.array(frame[c], dtype="Int64") if frame[c].isna().any() else frame[c].astype("int64")
             yield frame
 
-    return docs.mapInPandas(run, "doc_id long, k1 long, k2 long, n long, bands array<long>, sketch binary")
+    return docs.mapInPandas(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -80,28 +84,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def _fine(texts: DataFrame, shingle: int) -> DataFrame:
+    """``texts(doc_id, text)`` -> (rep, sketch): one byte of each bin of the fine sketch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sketcher, known = Sketcher(FINE, 1, 1), WordHashes()
+        for batch in batches:
+            made = [(sketcher.sketch(shingle_set(words_of(t), shingle, known)) & np.uint64(255)).astype(np.uint8).tobytes() for t in batch["text"].array]
+            yield pd.DataFrame({"rep": batch["doc_id"], "sketch": made})
+
+    return texts.select("doc_id", "text").mapInPandas(run, "rep long, sketch binary")
+
+
+def _agreeing(bins: int, percent: int) -> int:
+    """Bins that a linked pair's sketches agree in, less 4.8 standard deviations."""
+    return math.floor(bins * percent / 100 - 4.8 * math.sqrt(bins * percent / 100 * (1 - percent / 100)))
+
+
+def _pairs_of(cell: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Pairs of one cell that are worth verifying: (lesser, greater)."""
+    least = [(b, _agreeing(b, percent)) for b in (COARSE, FINE)]
+    band, own = int(cell["band"].iloc[0]), int(cell["i"].iloc[0])
+    is_rest = cell["rest"].to_numpy(bool)
+    rest, base = np.flatnonzero(is_rest), np.arange(len(cell)) if own < 0 else np.flatnonzero(~is_rest)
+    if not len(rest) or not len(base):
+        return []
+    ids, comp, n = (cell[c].to_numpy() for c in ("rep", "component", "n"))
+    sketch = np.frombuffer(b"".join(cell["sketch"]), np.uint8).reshape(len(cell), FINE)
+    bands = np.stack(cell["bands"].to_numpy())[:, :band]
+    first = np.ascontiguousarray(sketch[base, :COARSE])
+    found = set()
+    for r in rest.tolist():
+        near = np.flatnonzero((first == sketch[r, :COARSE]).sum(axis=1) >= least[0][1])
+        near = base[near]
+        near = near[(comp[near] != comp[r]) & (100 * np.minimum(n[near], n[r]) >= percent * np.maximum(n[near], n[r]))]
+        if len(near) and band:
+            near = near[~(bands[near] == bands[r]).any(axis=1)]
+        if len(near):
+            near = near[(sketch[near] == sketch[r]).sum(axis=1) >= least[1][1]]
+        found.update((min(ids[r], x), max(ids[r], x)) for x in ids[near].tolist() if x != ids[r])
+    return sorted(found)
+
+
 def _cells(members: DataFrame, percent: int) -> DataFrame:
     """Members of buckets that hold several components -> pairs worth verifying."""
-    least = math.floor(BINS * percent / 100 - 4.8 * math.sqrt(BINS * percent / 100 * (1 - percent / 100)))
-
-    def pairs_of(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        band = int(rows["band"].iloc[0])
-        rows = rows.sort_values("rep").reset_index(drop=True)
-        rest = rows[rows["rest"]].reset_index(drop=True)
-        base = rows if cell[1] < 0 else rows[~rows["rest"]].reset_index(drop=True)
-        if rest.empty or base.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        sketch = np.frombuffer(b"".join(base["sketch"]), np.uint8).reshape(len(base), BINS)
-        bands, ids, comp, n = np.stack(base["bands"].to_numpy()), base["rep"].to_numpy(), base["component"].to_numpy(), base["n"].to_numpy()
-        found = []
-        for r in rest.itertuples():
-            near = np.flatnonzero((comp != r.component) & (100 * np.minimum(n, r.n) >= percent * np.maximum(n, r.n)))
-            near = near[(sketch[near] == np.frombuffer(r.sketch, np.uint8)).sum(axis=1) >= least]
-            if len(near) and band:
-                near = near[~(bands[near][:, :band] == np.asarray(r.bands)[:band]).any(axis=1)]
-            found += [(min(r.rep, x), max(r.rep, x)) for x in ids[near].tolist() if x != r.rep]
-        found = sorted(set(found))
-        return pd.DataFrame({"a": [x[0] for x in found], "b": [x[1] for x in found]}, dtype="int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in chain(batches, [None]):
+            last = batch is None
+            rows = left if last else batch if left is None else pd.concat([left, batch], ignore_index=True)
+            if rows is None or rows.empty:
+                continue
+            key = rows[["bucket", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            found = [p for a, z in zip(cuts[:-1] if last else cuts[:-2], cuts[1:], strict=False) for p in _pairs_of(rows.iloc[a:z], percent)]
+            left = None if last else rows.iloc[cuts[-2] :]
+            yield pd.DataFrame({"a": [p[0] for p in found], "b": [p[1] for p in found]}, dtype="int64")
 
     of = F.pmod(F.xxhash64("rep"), F.lit(1 << 20))
     block = F.when(F.col("rest"), of % F.col("k_rest")).otherwise(of % F.col("k_main"))
@@ -113,7 +152,7 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
         ),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("k_rest") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"))))
     dealt = members.withColumn("block", block.cast("int")).withColumn("to", F.explode(spread)).select("bucket", "to.i", "to.j", "band", "rep", "component", "rest", "n", "bands", "sketch")
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(pairs_of, "a long, b long")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -134,7 +173,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         docs = settle(one.unionByName(rows.where("doc_id is null")), "one")
     profiles = settle(_profiles(docs, shingle), "profiles")
     reps = settle(
-        profiles.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        profiles.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "reps",
     )
     banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
@@ -151,7 +190,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sizes = c.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_main")).where("n_rest > 0")
     sizes = sizes.select("bucket", F.ceil(F.col("n_rest") / CELL).cast("int").alias("k_rest"), F.ceil(F.col("n_main") / CELL).cast("int").alias("k_main"))
     sizes = settle(sizes, "sizes")
-    open_ = c.select("bucket", "band", "rep", "component", "rest").join(sizes, "bucket").join(reps.select("rep", "n", "bands", "sketch"), "rep")
+    open_ = settle(c.select("bucket", "band", "rep", "component", "rest").join(sizes, "bucket"), "open")
+    fine = settle(_fine(texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "fine")
+    open_ = open_.join(reps.select("rep", "n", "bands"), "rep").join(fine, "rep")
     pairs = settle(_cells(open_, percent).distinct(), "pairs")
     more = settle(_verify(pairs, texts, shingle, percent), "more")
 

@@ -59,12 +59,12 @@ class Sketcher:
     """``bins`` must be a power of two, and at most 256."""
 
     def __init__(self, bins: int, bands: int, rows: int):
-        if bins & (bins - 1) or bins > 256 or bins < bands * rows:
-            raise ValueError("bins: a power of two up to 256, and at least bands * rows")
+        if bins & (bins - 1) or bins > 1024 or bins < bands * rows:
+            raise ValueError("bins: a power of two up to 1024, and at least bands * rows")
         self.bins, self.bands, self.rows = bins, bands, rows
         self.shift = np.uint64(64 - bins.bit_length() + 1)
         self.round_keys = mix(np.arange(1, 2 * bins + 1, dtype=np.uint64) * _LANES[5])
-        self.low = np.uint64((1 << 54) - 1)
+        self.low = np.uint64((1 << 53) - 1)
 
     def sketch(self, elements: np.ndarray) -> np.ndarray:
         """The bins' least values; elements: distinct hashes, at least one."""
@@ -75,14 +75,14 @@ class Sketcher:
         while done < t:
             keys = self.round_keys[done : min(t, done + block)]
             h = mix(elements[None, :] ^ keys[:, None])
-            value = (np.arange(done, done + len(keys), dtype=np.uint64) << np.uint64(54))[:, None] | (mix(h) & self.low)
+            value = (np.arange(done, done + len(keys), dtype=np.uint64) << np.uint64(53))[:, None] | (mix(h) & self.low)
             np.minimum.at(out, (h >> self.shift).astype(np.intp).ravel(), value.ravel())
             done += len(keys)
             if not (out == empty).any():
                 return out
         for j in np.flatnonzero(out == empty):
             h = mix(mix(elements ^ self.round_keys[t + j])) & self.low
-            out[j] = (np.uint64(t + j) << np.uint64(54)) | h.min()
+            out[j] = (np.uint64(t + j) << np.uint64(53)) | h.min()
         return out
 
     def band_keys(self, sketch: np.ndarray) -> np.ndarray:
