@@ -36,7 +36,7 @@ from twinsieve.llm.shingles import Sketcher, WordHashes, overlap, shingle_set, w
 
 BINS, BANDS, ROWS = 128, 32, 4
 #: Bins of the fine sketch, one byte of each of which is kept, and of its first part, which is tried first.
-FINE, COARSE = 256, 256
+FINE, COARSE = 1024, 256
 #: Most members of one side of a cell.
 CELL = 1024
 
