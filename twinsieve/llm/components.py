@@ -44,12 +44,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``component`` is the smallest node that can be reached. An empty input gives
     an empty result; self links and repeated links do no harm.
     """
-    e = settle(_lower(edges), "cc")
+    e = settle(_lower(edges), "cc", narrow=True)
     seen = _totals(e)
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        e = settle(_lower(_small_star(_lower(_large_star(e)))), "cc")
+        e = settle(_lower(_small_star(_lower(_large_star(e)))), "cc", narrow=True)
         now = _totals(e)
         if now == seen:
             break

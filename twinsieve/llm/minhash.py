@@ -5,8 +5,8 @@
 2. Rows with the same key are one *representative* (least id). Copies therefore
    never meet as pairs, however many there are.
 3. Star links: in each band bucket all members are compared with the least member
-   on their full shingle sets. Verified links are joined to components.
-4. What is left are members of one bucket in different components. They meet in
+   on their full shingle sets. Verified links give first labels of connected members.
+4. What is left are members of one bucket with different labels. They meet in
    cells of a bounded number of members (rest x main, rest x rest) with finer
    sketches; a cell keeps a pair only in the first band that it shares and only if
    the fine sketches agree in as many bins as those of a linked pair, less 4.8
@@ -177,28 +177,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         "reps",
     )
     banded = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = settle(banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader"), "buckets")
-    members = settle(banded.join(shared, "bucket"), "members")
+    shared = settle(banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("bucket", "leader"), "buckets", narrow=True)
+    members = settle(banded.join(shared, "bucket"), "members", narrow=True)
     texts = settle(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     star = settle(_verify(members.where("rep > leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), texts, shingle, percent), "star")
-    first = settle(components(star), "first")
-
-    c = members.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    c = settle(c, "labelled")
-    main = settle(c.where("rep = leader").select("bucket", F.col("component").alias("main")).distinct(), "main")
+    # Labels for now: a member's least linked leader, and that one's in turn. Equal labels are connected.
+    hop = star.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("up"))
+    hop = settle(hop, "hop", narrow=True)
+    again = hop.select(F.col("rep").alias("up"), F.col("up").alias("top"))
+    first = hop.join(again, "up", "left").select("rep", F.coalesce("top", "up").alias("component"))
+    c = members.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    c = settle(c, "labelled", narrow=True)
+    main = settle(c.where("rep = leader").select("bucket", F.col("component").alias("main")).distinct(), "main", narrow=True)
     c = c.join(main, "bucket").withColumn("rest", F.col("component") != F.col("main"))
     sizes = c.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_main")).where("n_rest > 0")
     sizes = sizes.select("bucket", F.ceil(F.col("n_rest") / CELL).cast("int").alias("k_rest"), F.ceil(F.col("n_main") / CELL).cast("int").alias("k_main"))
-    sizes = settle(sizes, "sizes")
-    open_ = settle(c.select("bucket", "band", "rep", "component", "rest").join(sizes, "bucket"), "open")
+    sizes = settle(sizes, "sizes", narrow=True)
+    open_ = settle(c.select("bucket", "band", "rep", "component", "rest").join(sizes, "bucket"), "open", narrow=True)
     fine = settle(_fine(texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "fine")
     open_ = open_.join(reps.select("rep", "n", "bands"), "rep").join(fine, "rep")
-    pairs = settle(_cells(open_, percent).distinct(), "pairs")
+    pairs = settle(_cells(open_, percent).distinct(), "pairs", narrow=True)
     more = settle(_verify(pairs, texts, shingle, percent), "more")
 
     joined = settle(components(star.union(more)), "components")
     keyed = reps.select("rep", "k1", "k2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    keyed = settle(keyed, "keyed")
+    keyed = settle(keyed, "keyed", narrow=True)
     out = profiles.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles")).join(keyed, ["k1", "k2"], "left")
     cid = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", cid.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -35,13 +35,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/twinsieve/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
+    ``narrow``: a table of ids, far smaller than the texts that the number of shuffle
+    partitions is made for; eight of these are one task, so there are fewer files.
+
     This cuts the lineage, survives the loss of any executor, and gives the
     optimizer the true size of the table, so joins with it are planned on facts.
     """
     path = fresh_path(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
