@@ -33,12 +33,13 @@ def hamming_pairs(b: DataFrame, within: int, bits: int) -> DataFrame:
     d = hamming(F.col("ca"), F.col("cb"))
     if min(w for _, w in cuts) < 3:
         return x.join(y, (F.col("a") < F.col("b")) & (d <= within)).select("a", "b", d.alias("d"))
-    keys = lambda c: F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(F.col(c), s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for i, (s, w) in enumerate(cuts)])
+    part = lambda c, s, w: F.shiftright(c, s).bitwiseAND(F.lit((1 << w) - 1)) if w < 64 else c
+    keys = lambda c: F.array(*[F.struct(F.lit(i).alias("i"), part(F.col(c), s, w).alias("v")) for i, (s, w) in enumerate(cuts)])
     left, right = x.withColumn("k", F.explode(keys("ca"))), y.withColumn("k", F.explode(keys("cb")))
     diff = F.col("ca").bitwiseXOR(F.col("cb"))
     earlier = F.lit(False)
     for i, (s, w) in enumerate(cuts):
-        earlier = earlier | ((F.col("band") > i) & (F.shiftright(diff, s).bitwiseAND(F.lit((1 << w) - 1)) == 0))
+        earlier = earlier | ((F.col("band") > i) & (part(diff, s, w) == 0))
     met = left.select("a", "ca", F.col("k.i").alias("band"), F.col("k.v").alias("v")).join(right.select("b", "cb", F.col("k.i").alias("band"), F.col("k.v").alias("v")), ["band", "v"])
     return met.where((F.col("a") < F.col("b")) & (d <= within) & ~earlier).select("a", "b", d.alias("d"))
 
