@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first 4, 5 and 6 letters; those are kept that are
+Terms are words and their first 4 to 8 letters; those are kept that are
 significantly commoner in toxic examples than in others. The examples, a bounded
 sample of the labelled rows, stand in an inverted index whose postings lie in blocks
 of examples with the largest weight of each term in each block. A query visits blocks
@@ -27,7 +27,7 @@ NEIGHBOURS, BLOCK = 15, 64
 #: Blocks of the highest bounds that a query visits first; what they give decides which others can matter.
 OPENING = 4
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Mass of the prior in a vote, in units of squared similarity.
 PRIOR = 0.05
 
