@@ -89,7 +89,7 @@ def _id(x):
     return None if x is None or x != x else int(x)
 
 
-def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_revisit: int = 0, level: int = 6) -> DataFrame:
+def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_revisit: int = 0, level: int = 4) -> DataFrame:
     """``pages(page_id, url, html)`` -> the manifest of the archives in ``out``: file, records, bytes.
 
     Of pages with equal payloads of at least ``least_revisit`` bytes the one with the
