@@ -39,7 +39,7 @@ def word_terms(word: str) -> list[str]:
 class Examples:
     def __init__(self, texts: list[str], toxic: list[int], share: tuple[float, float]):
         """share: what part of all rows with label 0, and 1, the examples are."""
-        y = np.array(toxic)
+        y = np.array(toxic, int)
         bags = [Counter(WORD.findall(t.lower())) for t in texts]
         pos, neg = Counter(), Counter()
         for bag, label in zip(bags, toxic, strict=True):
