@@ -167,7 +167,7 @@ def test_toxicity(spark, docs, odd):
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = toxicity.rate_toxicity(big.select("doc_id", "text"), labels).drop("text").join(labels, "doc_id").toPandas()
     h = r[r.held_out]
-    assert (h.predicted == h.toxic).mean() > 0.95 and h.score.between(0, 1).all()
+    assert (h.predicted == h.toxic).mean() > 0.97 and h.score.between(0, 1).all()
     assert len(toxicity.rate_toxicity(odd, labels, evidence=True).collect()) == len(ODD)
     assert all(x.score == 0 for x in toxicity.rate_toxicity(odd, labels.limit(0)).collect())
 
