@@ -38,6 +38,16 @@ class SmallWorld:
         self.seen, self.mark, self.entry = np.zeros(n, np.int64), 0, -1
         for i in range(n):
             self._insert(i)
+        self._both_ways()
+
+    def _both_ways(self) -> None:
+        """Lowest layer: each link also leads back, so pruning leaves no node that others cannot reach."""
+        links = self.links[0]
+        a, b = np.repeat(np.fromiter(links, np.int64, len(links)), [len(x) for x in links.values()]), np.concatenate([*links.values(), np.zeros(0, np.int64)])
+        pairs = np.unique(np.stack([np.concatenate([a, b]), np.concatenate([b, a])], axis=1), axis=0)
+        cuts = np.searchsorted(pairs[:, 0], np.arange(len(self.x) + 1))
+        for i in links:
+            links[i] = pairs[cuts[i] : cuts[i + 1], 1].copy()
 
     def search(self, q: np.ndarray, entries: list[int], width: int, layer: int, reach: float = 2.0) -> list[tuple[float, int]]:
         """The best ``width`` nodes found, and all nodes met with at least ``reach``: (similarity, node)."""
@@ -114,10 +124,13 @@ class SmallWorld:
         if level > self.top:
             self.entry, self.top = i, level
 
-    def near(self, q: np.ndarray, width: int, reach: float) -> np.ndarray:
+    def near(self, q: np.ndarray, width: int, reach: float, own: int = -1) -> np.ndarray:
+        """What a beam of ``width`` finds, and all it meets with at least ``reach``; own: the query's node, if it is here."""
         at = [self.entry]
         for layer in range(self.top, 0, -1):
             at = [max(self.search(q, at, 1, layer))[1]]
+        if own >= 0 and own not in at:
+            at.append(own)
         return np.array([j for _, j in self.search(q, at, width, 0, reach)])
 
 
@@ -170,18 +183,20 @@ def links(nodes: DataFrame, least: float, s: Graph) -> DataFrame:
         graph, ids, copies = pickle.loads(g["graph"].iloc[0])
         q = q.sort_values("node")
         x, own = unit(q["vec"].tolist()), q["node"].to_numpy()
+        place = np.searchsorted(ids, own).clip(max=len(ids) - 1)
+        here = np.where(ids[place] == own, place, -1).tolist()
         drawn = np.argsort(mix(own.astype(np.uint64)), kind="stable")[: s.audited]
         truth = {int(k): set(np.flatnonzero(graph.x @ x[k] >= least).tolist()) for k in drawn}
         width, slack = s.width, s.slack
         while True:
-            answer = {k: graph.near(x[k], width, least - slack) for k in truth}
+            answer = {k: graph.near(x[k], width, least - slack, here[k]) for k in truth}
             missed = any(truth[k] - set(answer[k].tolist()) for k in truth)
             if not missed or width >= len(ids):
                 break
             width, slack = 2 * width, 2 * slack
         counts, found = [], []
         for k, node in enumerate(own.tolist()):
-            at = answer[k] if k in answer else graph.near(x[k], width, least - slack)
+            at = answer[k] if k in answer else graph.near(x[k], width, least - slack, here[k])
             at = at[graph.x[at] @ x[k] >= least]
             at = at[ids[at] != node]
             counts.append((node, None, int(copies[at].sum())))
