@@ -201,6 +201,12 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (901, 902, 903, 904, None))
 
 
+def test_graph_links_lead_both_ways():
+    x = embed_hnsw.unit(list(np.random.default_rng(3).standard_normal((300, 16))))
+    links = embed_hnsw.SmallWorld(x, np.arange(300), Graph()).links[0]
+    assert len(links) == 300 and all(i in links[j] for i in links for j in links[i].tolist())
+
+
 def test_warc(spark):
     p = [(1, "u", "x"), (2, None, "x"), (2, "a", "x"), (None, "b", None), (None, None, ""), (3, "é\r\nX: y", "é"), (4, "u", "z" * 3_000_000)]
     df = spark.createDataFrame(p, "page_id long, url string, html string")
