@@ -186,6 +186,17 @@ def test_nearest_examples_are_exact():
         assert np.allclose([v for v, _ in e.nearest(vectors[i])], [-v for v, _ in want])
 
 
+def test_rare_terms_of_examples_count():
+    rng = np.random.default_rng(2)
+    line = lambda: " ".join(f"w{chr(97 + k)}x" for k in rng.integers(0, 26, 12))
+    texts = [line() for _ in range(300)] + [line() + " gromthak zarvoli" for _ in range(2)]
+    e = toxicity.Examples(texts, [0] * 300 + [1] * 2, (1.0, 1.0))
+    assert {"gromthak", "zarvoli", "wax"} <= set(e.term)
+    assert {i for _, i in e.nearest(e.vector(Counter(["gromthak", "zarvoli"])))} == {300, 301}
+    assert e.score("gromthak zarvoli")[0] > e.score("nothing known")[0]
+    assert e.nearest(e.vector(Counter(["wax", "wbx"])))
+
+
 def test_vectors(spark):
     nan, rng = float("nan"), np.random.default_rng(0)
     centres = rng.standard_normal((40, 16))

@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first 4 to 8 letters; those are kept that are
-significantly commoner in toxic examples than in others. The examples, a bounded
+Terms are words and their first 4 to 8 letters. Every term of the examples is
+indexed; its IDF counts in full if it is significantly commoner in toxic examples
+than in others, and down to ``ORDINARY`` of it if it is not. The examples, a bounded
 sample of the labelled rows, stand in an inverted index whose postings lie in blocks
 of examples with the largest weight of each term in each block. A query visits blocks
 by falling upper bound and stops when no block can change its nearest examples, so
@@ -30,12 +31,21 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7, 8)
 #: Mass of the prior in a vote, in units of squared similarity.
 PRIOR = 0.05
+#: What part of its IDF a term keeps that is not commoner in toxic examples, and the log-likelihood gain at which half of the rest counts.
+ORDINARY, GAIN = 0.1, 15.0
 
 
 def word_terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
 
+def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each a up to its b, one after another, and how many each has."""
+    n = b - a
+    ends = np.cumsum(n)
+    return np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0), n
+
+
 class Examples:
     def __init__(self, texts: list[str], toxic: list[int], share: tuple[float, float]):
         """share: what part of all rows with label 0, and 1, the examples are."""
@@ -45,18 +55,12 @@ class Examples:
         for bag, label in zip(bags, toxic, strict=True):
             (pos if label else neg).update({t for w in bag for t in word_terms(w)})
         n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-        chosen = []
-        for t, a in pos.items():
-            b = neg[t]
-            if a >= 3 and (a + 0.5) / (n1 + 1) >= 3 * (b + 0.5) / (n0 + 1):
-                p, q, r = a / n1, b / n0, (a + b) / (n1 + n0)
-                gain = 2 * sum(k * np.log(k / (m * x)) for k, m, x in ((a, n1, r), (n1 - a, n1, 1 - r), (b, n0, r), (n0 - b, n0, 1 - r)) if k > 0)
-                if p > q and gain >= 15:
-                    chosen.append(t)
-        self.term = {t: i for i, t in enumerate(sorted(chosen))}
+        terms = sorted(pos.keys() | neg.keys())
+        self.term = {t: i for i, t in enumerate(terms)}
         weight = np.array([1 / share[0], 1 / share[1]])
         total = n0 * weight[0] + n1 * weight[1]
-        self.idf = np.array([np.log(1 + total / (1 + neg[t] * weight[0] + pos[t] * weight[1])) for t in sorted(chosen)])
+        a, b = np.array([pos[t] for t in terms], float), np.array([neg[t] for t in terms], float)
+        self.idf = np.log(1 + total / (1 + b * weight[0] + a * weight[1])) * self.relevance(a, b, n1, n0)
         self.known: dict[str, tuple[int, ...]] = {}
         vectors = [self.vector(bag) for bag in bags]
         self.y, self.w = y, weight[y]
@@ -65,62 +69,85 @@ class Examples:
         raw = np.array([self.vote(v, skip=i)[0] for i, v in enumerate(vectors)]) if len(y) else np.zeros(0)
         self._calibrate(raw)
 
+    @staticmethod
+    def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+        """From ``ORDINARY`` to 1, for terms in a of n1 toxic examples and b of n0 others."""
+        gain, r = np.zeros(len(a)), (a + b) / (n1 + n0)
+        for k, m, x in ((a, n1, r), (n1 - a, n1, 1 - r), (b, n0, r), (n0 - b, n0, 1 - r)):
+            on = k > 0
+            gain[on] += 2 * k[on] * np.log(k[on] / (m * x[on]))
+        gain = np.where(a / n1 > b / n0, np.maximum(gain, 0), 0) ** 2
+        return ORDINARY + (1 - ORDINARY) * gain / (gain + GAIN**2)
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
     def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term ids and weights of unit length; both empty if no term is known."""
-        found: Counter = Counter()
         known = self.known
+        parts, many = [], []
         for w, n in bag.items():
             ids = known.get(w)
             if ids is None:
-                if len(known) > 1_000_000:
+                if len(known) > 200_000:
                     known.clear()
-                ids = known[w] = tuple(self.term[t] for t in word_terms(w) if t in self.term)
-            for i in ids:
-                found[i] += n
-        if not found:
+                ids = known[w] = [self.term[t] for t in word_terms(w) if t in self.term]
+            parts += ids
+            many += [n] * len(ids)
+        if not parts:
             return np.zeros(0, int), np.zeros(0)
-        ids = np.array(sorted(found))
-        x = (1 + np.log([found[i] for i in ids.tolist()])) * self.idf[ids]
+        ids, at = np.unique(np.array(parts), return_inverse=True)
+        x = (1 + np.log(np.bincount(at, many))) * self.idf[ids]
         return ids, x / np.sqrt((x * x).sum())
 
     def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        n, blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        """Postings by term and example; a cell is what a term has in one block, and only cells with postings are kept."""
+        n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         ids = np.concatenate([v[0] for v in vectors] or [np.zeros(0, int)])
         val = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         who = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
-        order = np.lexsort((who, ids))
-        ids, self.weight, self.who = ids[order], val[order], who[order]
-        cell = ids * blocks + self.who // BLOCK
-        self.blocks, self.at = blocks, np.searchsorted(cell, np.arange(len(self.term) * blocks + 1))
-        self.most = np.zeros((len(self.term), blocks))
-        np.maximum.at(self.most, (ids, self.who // BLOCK), self.weight)
+        order = np.argsort(ids, kind="stable")
+        ids, self.weight, self.who = ids[order], val[order], who[order].astype(np.int32)
+        cell = ids * self.blocks + self.who // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.start = np.append(first, len(cell)).astype(np.int32)
+        self.block = (self.who[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(ids[first], np.arange(len(self.term) + 1)).astype(np.int32)
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
         """The k nearest examples with a similarity over 0: (similarity, example), exact; ties by example."""
         ids, q = vector
         if not len(ids):
             return []
-        bound = q @ self.most[ids]
+        cells, n = ranges(self.cells[ids], self.cells[ids + 1])
+        bound = np.bincount(self.block[cells], np.repeat(q, n) * self.most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best = self._within(ids, q, order[:OPENING], k, skip)
+        # Where the bounds hardly fall no block can be left out, and whole terms are read at once.
+        if len(order) and bound[order[len(order) // 2]] > bound[order[0]] / 2:
+            at, n = ranges(self.start[self.cells[ids]], self.start[self.cells[ids + 1]])
+            return self._best(at, np.repeat(q, n), k, skip)
+        best = self._within(cells, np.repeat(q, n), order[:OPENING], k, skip)
         rest = order[OPENING:]
         if len(rest) and len(best) == k:
             rest = rest[bound[rest] >= best[-1][0] - 1e-12]
         if len(rest):
-            best = sorted(best + self._within(ids, q, rest, k, skip), key=lambda x: (-x[0], x[1]))[:k]
+            best = sorted(best + self._within(cells, np.repeat(q, n), rest, k, skip), key=lambda x: (-x[0], x[1]))[:k]
         return best
 
-    def _within(self, ids: np.ndarray, q: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
-        """The k nearest examples of some blocks."""
-        cell = (ids[:, None] * self.blocks + blocks[None, :]).ravel()
-        a, n = self.at[cell], self.at[cell + 1] - self.at[cell]
-        ends = np.cumsum(n)
-        at = np.repeat(a - ends + n, n) + np.arange(ends[-1])
-        s = np.bincount(self.who[at], np.repeat(np.repeat(q, len(blocks)), n) * self.weight[at], len(self.y))
+    def _within(self, cells: np.ndarray, q: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """The k nearest examples of some blocks; cells: of the query's terms, q: the query's weight in each."""
+        on = np.zeros(self.blocks, bool)
+        on[blocks] = True
+        on = on[self.block[cells]]
+        cells, q = cells[on], q[on]
+        at, n = ranges(self.start[cells], self.start[cells + 1])
+        return self._best(at, np.repeat(q, n), k, skip)
+
+    def _best(self, at: np.ndarray, q: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """The k nearest examples by the postings at some places; q: the query's weight at each."""
+        s = np.bincount(self.who[at], q * self.weight[at], len(self.y))
         if skip >= 0:
             s[skip] = 0
         hit = np.flatnonzero(s > 0)
