@@ -212,6 +212,18 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (901, 902, 903, 904, None))
 
 
+def test_few_links_across_shards_are_found(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 16))
+    x = np.concatenate([x, x[:40] + 0.05 * rng.standard_normal((40, 16))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = embed_hnsw.unit(list(x))
+    near = (u @ u.T >= 0.93).sum(axis=1) - 1
+    weak = Graph(degree=2, build_width=2, width=1, slack=0.0, shard=200, block=200, audited=4)
+    got = {r.vec_id: r.n_links for r in embed_hnsw.near_vectors(df, settings=weak).collect()}
+    assert near.sum() >= 80 and [got[i] for i in range(640)] == near.tolist()
+
+
 def test_graph_links_lead_both_ways():
     x = embed_hnsw.unit(list(np.random.default_rng(3).standard_normal((300, 16))))
     links = embed_hnsw.SmallWorld(x, np.arange(300), Graph()).links[0]

@@ -4,9 +4,10 @@ Equal vectors of a label are one node that carries their number. The nodes of a
 label are dealt to shards of bounded size; each shard gets a hierarchical graph,
 which is stored. Every node then queries every shard of its label, in blocks of a
 bounded number of queries. A search goes on as long as what it meets is near enough
-to the threshold, so a node in a large group finds all of it. Each cell audits its
-answers for some of its queries by brute force and doubles the beam, and what counts
-as near enough, until the audit finds nothing that was missed. A pair counts only
+to the threshold, so a node in a large group finds all of it. Each cell answers some
+of its queries by brute force, until these have a fixed number of links with other
+nodes or no query is left. The search must find all of them: the beam, and what counts
+as near enough, double until it does, and if they cannot the cell is scanned. A pair counts only
 if its cosine in double precision reaches the threshold. A cell returns a count per
 query and a spanning forest of its links, never all pairs.
 """
@@ -185,19 +186,24 @@ def links(nodes: DataFrame, least: float, s: Graph) -> DataFrame:
         x, own = unit(q["vec"].tolist()), q["node"].to_numpy()
         place = np.searchsorted(ids, own).clip(max=len(ids) - 1)
         here = np.where(ids[place] == own, place, -1).tolist()
-        drawn = np.argsort(mix(own.astype(np.uint64)), kind="stable")[: s.audited]
-        truth = {int(k): set(np.flatnonzero(graph.x @ x[k] >= least).tolist()) for k in drawn}
-        width, slack = s.width, s.slack
-        while True:
-            answer = {k: graph.near(x[k], width, least - slack, here[k]) for k in truth}
-            missed = any(truth[k] - set(answer[k].tolist()) for k in truth)
-            if not missed or width >= len(ids):
+        truth, tested, order = {}, 0, np.argsort(mix(own.astype(np.uint64)), kind="stable")
+        for i in range(0, len(order), s.audited):
+            for k in order[i : i + s.audited].tolist():
+                truth[k] = np.flatnonzero(graph.x @ x[k] >= least)
+                tested += len(truth[k]) - (here[k] >= 0)
+            if tested >= s.tested:
                 break
+        width, slack, scan = s.width, s.slack, len(truth) == len(own)
+        while not scan and any(len(np.setdiff1d(t, graph.near(x[k], width, least - slack, here[k]))) for k, t in truth.items() if len(t) > (here[k] >= 0)):
+            scan = width >= len(ids)
             width, slack = 2 * width, 2 * slack
         counts, found = [], []
         for k, node in enumerate(own.tolist()):
-            at = answer[k] if k in answer else graph.near(x[k], width, least - slack, here[k])
-            at = at[graph.x[at] @ x[k] >= least]
+            if k in truth or scan:
+                at = truth[k] if k in truth else np.flatnonzero(graph.x @ x[k] >= least)
+            else:
+                at = graph.near(x[k], width, least - slack, here[k])
+                at = at[graph.x[at] @ x[k] >= least]
             at = at[ids[at] != node]
             counts.append((node, None, int(copies[at].sum())))
             found += [(node, j) for j in ids[at].tolist()]

@@ -11,7 +11,8 @@ class Graph:
 
     shard: most nodes of a graph. block: most queries of a task, about. width: the
     beam at first. slack: how far below the threshold a search goes on at first.
-    audited: queries of each cell that are answered by brute force as well.
+    audited: queries of each cell that are answered by brute force at a time, until
+    these have ``tested`` links with other nodes.
     """
 
     degree: int = 12
@@ -21,3 +22,4 @@ class Graph:
     shard: int = 16384
     block: int = 2048
     audited: int = 32
+    tested: int = 512
