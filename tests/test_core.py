@@ -127,6 +127,20 @@ def test_images(spark, tmp_path):
     assert sinks.archive([str(tmp_path / "c.png"), str(tmp_path / "none.png")], str(out)) == 1
 
 
+def test_image_quality_scores_every_row(spark, tmp_path):
+    from twinsieve.queries import image_quality
+
+    d = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    got = {r.filename: r for r in image_quality(spark, d).collect()}
+    assert len(got) == e.count() > 4
+    for r in e.orderBy("vec_id").limit(3).collect():
+        x = [min(255, max(0, int(128 + 400 * v))) for v in r.embedding]
+        (tmp_path / f"c{r.label}_{r.vec_id}.png").write_bytes(png([[(x[(i * j) % 64], x[(i + j) % 64], x[(i ^ j) % 64]) for j in range(32)] for i in range(32)]))
+    read = quality.score(src.images(spark, str(tmp_path))).collect()
+    assert len(read) == 3 and all(got[r.filename] == r for r in read)
+
+
 def test_variants():
     x = np.random.default_rng(0).random((16, 16, 3))
     for make in (pixels.photo_set, pixels.batch_set):

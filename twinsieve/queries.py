@@ -5,7 +5,10 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,6 @@ from twinsieve.functions import names
 from twinsieve.functions.vectors import doubles, min_max_scale, normalize, standardize
 from twinsieve.operators import curate, distances, evaluate, grouping, knn, layout, quality, threshold
 from twinsieve.operators.hashing import BandedProjection, LeastProjection, SignProjection, SimilarityHash
-from twinsieve.sources.images import images
 from twinsieve.storage import settle, shared_dir
 
 DIM = 64
@@ -246,18 +248,19 @@ def png(pixels: list[list[tuple[int, int, int]]]) -> bytes:
 
 
 def image_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of a few images, drawn from the first vectors; the folder is of this machine, as in a demonstration."""
-    import os
-
-    folder = shared_dir(spark).removeprefix("file:") + f"/images-{uuid.uuid4().hex[:8]}"
-    folder = "/" + folder.lstrip("/")
-    os.makedirs(folder)
-    rows = _table(spark, d, "embeddings").orderBy("vec_id").limit(4).collect()
-    for r in rows:
-        x = [min(255, max(0, int(128 + 400 * v))) for v in r.embedding]
-        with open(f"{folder}/c{r.label}_{r.vec_id}.png", "wb") as f:
-            f.write(png([[(x[(i * j) % DIM], x[(i + j) % DIM], x[(i ^ j) % DIM]) for j in range(32)] for i in range(32)]))
-    return quality.score(images(spark, folder))
+    """Scores of one image for each row of embeddings, drawn from its vector in the tasks."""
+    i, j = np.mgrid[:32, :32]
+    at = np.stack([(i ^ j) % DIM, (i + j) % DIM, (i * j) % DIM], axis=-1)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = [np.clip(np.trunc(128 + 400 * np.asarray(v, float)), 0, 255).astype(np.uint8) for v in b["embedding"]]
+            yield pd.DataFrame({"filename": b["filename"], "data": [v[at].tobytes() for v in x]})
+
+    name = F.concat(F.lit("c"), F.col("label").cast("string"), F.lit("_"), F.col("vec_id").cast("string"), F.lit(".png"))
+    drawn = _table(spark, d, "embeddings").select(name.alias("filename"), "embedding").mapInPandas(draw, "filename string, data binary")
+    pixels = F.struct(F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(3).alias("nChannels"), "data")
+    return quality.score(drawn.select("filename", pixels.alias("image")))
 
 
 def streaming_dedup(spark: SparkSession, d: str) -> DataFrame:
