@@ -5,10 +5,10 @@ their neighbours and features of the file, and is decoded by Viterbi. It is trai
 here by maximum likelihood on generated lines: secrets of many kinds in many
 contexts, and look-alikes that are none.
 
-A chunk (between white space) is *plain* if it has no digit, ``=``, ``:`` or ``_``
-and does not follow a chunk that ends in ``:`` or ``=``. All features of a plain
-chunk's tokens are one constant, whose margin for *outside* is larger than all that
-transitions can add. The best path is therefore outside there whatever surrounds it,
+A chunk (between white space) is *plain* if it is shorter than ``LEAST``, has no digit,
+``=``, ``:`` or ``_`` and does not follow a chunk that ends in ``:`` or ``=``. No span
+within it could be reported. All features of a plain chunk's tokens are one constant,
+set so that its margin for *outside* is larger than all that transitions can add. The best path is therefore outside there whatever surrounds it,
 and decoding each run of other chunks between two outside tokens is exact.
 """
 
@@ -33,7 +33,7 @@ KINDS = ("assign", "access", "hex", "crf")
 
 O, B, I = 0, 1, 2
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={1,2}(?![A-Za-z0-9])|[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*|[^\sA-Za-z0-9+/_-]")
-MARK = re.compile(r"[0-9=:_]")
+MARK = re.compile(r"[0-9=:_]|(?<!\S)\S{12}")
 SPACE = re.compile(r"\s")
 NAMES = re.compile(r"(?i)pass(?:word|wd|phrase)?$|pwd$|secret|token|api.?key|credential|auth|bearer|private|signature|access.?key|accountkey|client.?key")
 #: Shortest span that the field may add.
@@ -64,9 +64,9 @@ def _shape(w: str) -> list[str]:
     runs = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "9", w)))
     counts = [w.count(c) / n for c in set(w)]
     entropy = -sum(p * math.log2(p) for p in counts)
-    kind = "hex" if not re.search(r"[^0-9a-f]", w) and digits and lower else "num" if digits == n else "low" if lower == n else "up" if upper == n else "UP9" if upper + digits == n else "word" if upper == 1 and lower == n - 1 else "mix" if upper and lower and digits else "sym"
+    kind = "hex" if not re.search(r"[^0-9a-f]", w) and digits and lower else "num" if digits == n else "low" if lower == n else "up" if upper == n else "UP9" if upper + digits == n else "word" if upper == 1 and lower == n - 1 else "mix" if upper and lower and digits else "Aa" if upper + lower == n else "sym"
     length = "s" if n < 8 else "m" if n < 12 else "l" if n < 20 else "x" if n < 40 else "xx"
-    out = [f"k={kind}", f"n={length}", f"kn={kind},{length}", f"r={min(len(runs), 12)}", f"e={round(entropy)},{length}", f"sym={''.join(sorted(set(re.sub('[A-Za-z0-9]', '', w))))}"]
+    out = [f"k={kind}", f"n={length}", f"kn={kind},{length}", f"r={min(len(runs), 12)}", f"kr={kind},{min(len(runs), 12)}", f"e={round(entropy)},{length}", f"sym={''.join(sorted(set(re.sub('[A-Za-z0-9]', '', w))))}"]
     if NAMES.search(w):
         out.append("name")
     if re.match(r"(ghp|gho|sk|pk|rk|xox[abp]|glpat|npm|AKIA|ASIA|AIza|eyJ|SG)[._-]?", w) and n >= LEAST:
@@ -170,7 +170,7 @@ class Field:
         runs = chunks(text) if self.plain_is_outside else iter([[(m.start(), m.end()) for m in re.finditer(r"\S+", text)]])
         for run in runs:
             of_file = of_file or file_features(text)
-            before = text[max(0, run[0][0] - 60) : run[0][0]].split()[-2:]
+            before = text[max(0, run[0][0] - 120) : run[0][0]].split()[-4:]
             after = text[run[-1][1] : run[-1][1] + 40].split()[:1]
             found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, run[0][0], run[-1][1])]
             lead = [x for w in before for x in TOKEN.findall(w)][-4:]
@@ -212,10 +212,15 @@ def _secret(rng: random.Random) -> str:
         lambda: _text(rng, "0123456789abcdef", 16, 64), lambda: _text(rng, full, 16, 44), lambda: "AKIA" + _text(rng, _UP + _NUM, 16, 16),
         lambda: "ghp_" + _text(rng, full, 36, 36), lambda: rng.choice(("sk_live_", "sk-", "pk_test_")) + _text(rng, full, 24, 40),
         lambda: "xoxb-" + _text(rng, _NUM, 10, 12) + "-" + _text(rng, full, 20, 26), lambda: "eyJ" + _text(rng, full, 18, 40) + "." + _text(rng, full + "_-", 30, 60) + "." + _text(rng, full + "_-", 30, 44),
-        lambda: _text(rng, full + "+/", 40, 60) + "=" * rng.randint(0, 2), lambda: "AIza" + _text(rng, full + "_-", 35, 35), lambda: "glpat-" + _text(rng, full, 20, 20),
+        lambda: _text(rng, _UP + _LOW, 16, 44), lambda: _text(rng, full + "+/", 40, 60) + "=" * rng.randint(0, 2), lambda: "AIza" + _text(rng, full + "_-", 35, 35), lambda: "glpat-" + _text(rng, full, 20, 20),
     ))()
 
 
+def _phrase(rng: random.Random) -> str:
+    """A secret that only its name gives away."""
+    return rng.choice((lambda: "-".join(_text(rng, _LOW, 3, 9) for _ in range(4)), lambda: _text(rng, _LOW, 14, 30)))()
+
+
 def _lookalike(rng: random.Random) -> str:
     num = lambda a, b: _text(rng, _NUM, a, b)
     return rng.choice((
@@ -225,6 +230,7 @@ def _lookalike(rng: random.Random) -> str:
         lambda: "_".join(_text(rng, _LOW, 2, 9) for _ in range(rng.randint(2, 4))) + rng.choice(("", "()", "=" + num(1, 3), "=true")), lambda: num(1, 12),
         lambda: f"{_word(rng)}: {_word(rng)}", lambda: f"{_text(rng, _UP, 1, 3)}-{num(2, 5)}", lambda: f"{num(3, 3)}-{num(2, 2)}-{num(4, 4)}", lambda: f"{_text(rng, '0123456789abcdef', 8, 8)}-{_text(rng, '0123456789abcdef', 4, 4)}-4{num(3, 3)}-a{num(3, 3)}-{_text(rng, '0123456789abcdef', 12, 12)}",
         lambda: f"/{_text(rng, _LOW, 2, 7)}/{_text(rng, _LOW, 3, 9)}_{num(1, 3)}.{rng.choice(('txt', 'html', 'py'))}", lambda: f"{_word(rng)}={_word(rng)}", lambda: f"{rng.choice(('password', 'token', 'secret'))}: {rng.choice(('none', 'required', 'optional', 'see below', '<redacted>', '****'))}",
+        lambda: _text(rng, _LOW, 12, 24), lambda: "-".join(_text(rng, _LOW, 2, 9) for _ in range(rng.randint(2, 5))), lambda: _word(rng).capitalize() + "".join(_text(rng, _LOW, 3, 8).capitalize() for _ in range(2)), lambda: _text(rng, _UP, 12, 16), lambda: f"{_text(rng, _LOW, 3, 9)}@{_text(rng, _LOW, 3, 8)}.example.com",
         lambda: _text(rng, _LOW, 12, 30) + ":", lambda: f"{num(1, 3)}{_text(rng, _LOW, 1, 3)}", lambda: f"{_word(rng)}{num(1, 4)}",
     ))()
 
@@ -240,13 +246,14 @@ def generated(count: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
             if rng.random() < 0.6:
                 text += _lookalike(rng)
             else:
-                if rng.random() < 0.75:
+                named = rng.random() < 0.75
+                if named:
                     q = rng.choice(("", "", '"', "'"))
                     name = rng.choice(names)
-                    text += (name + rng.choice((" ", ": ")) if "Bearer" in name else rng.choice(("", q)) + name + rng.choice(("=", " = ", ": ", ":", '": "' if q == '"' else ":"))) + q
+                    text += (name + rng.choice((" ", ": ")) if "Bearer" in name else rng.choice(("", q)) + name + rng.choice(("=", " = ", ": ", ":", " ", " is ", '": "' if q == '"' else ":"))) + q
                 else:
                     q = ""
-                s = _secret(rng)
+                s = _phrase(rng) if named and rng.random() < 0.15 else _secret(rng)
                 spans.append((len(text), len(text) + len(s)))
                 text += s + q
             text += rng.choice((" ", " ", ". ", "\n", ", "))
