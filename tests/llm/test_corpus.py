@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from twinsieve.llm import components, decontaminate, embed_hnsw, html_gbt, langid, minhash, packing, queries, secrets_crf, slots, toxicity, warc
 from twinsieve.llm.settings import Graph
@@ -177,22 +178,50 @@ def test_toxicity(spark, docs, odd):
     r = toxicity.rate_toxicity(big.select("doc_id", "text"), labels).drop("text").join(labels, "doc_id").toPandas()
     h = r[r.held_out]
     assert (h.predicted == h.toxic).mean() > 0.97 and h.score.between(0, 1).all()
+    assert h.predicted[h.toxic == 1].mean() > 0.85
     assert len(toxicity.rate_toxicity(odd, labels, evidence=True).collect()) == len(ODD)
     assert all(x.score == 0 for x in toxicity.rate_toxicity(odd, labels.limit(0)).collect())
+    assert toxicity.rate_toxicity(odd.limit(0), labels).count() == 0
+    clash = odd.withColumn("score", F.lit("mine"))
+    assert {x.score for x in toxicity.rate_toxicity(clash, labels.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_is_a_dense_search(spark, docs):
+    """Scores and evidence of the whole table against all similarities, computed densely."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    e = toxicity.examples(docs.select("doc_id", "text"), labels)
+    dense = np.zeros((len(e.y), len(e.term)))
+    for i, (ids, x) in enumerate(e.vectors):
+        dense[i, ids] = x
+    got = toxicity.rate_toxicity(docs.select("doc_id", "text"), labels, evidence=True).collect()
+    empty = 0
+    for r in got:
+        terms = Counter(t for w in toxicity.WORD.findall((r.text or "").lower()) for t in toxicity.word_terms(w))
+        q = np.zeros(len(e.term))
+        for t, n in terms.items():
+            if t in e.term:
+                q[e.term[t]] = (1 + np.log(n)) * e.idf[e.term[t]]
+        empty += not q.any()
+        s = dense @ (q / (np.sqrt((q * q).sum()) or 1))
+        near = sorted(((-v, i) for i, v in enumerate(s) if v > 0))[: toxicity.NEIGHBOURS]
+        assert np.allclose([x.similarity for x in r.evidence], [-v for v, _ in near])
+        mass = np.array([v * v * e.w[i] / e.w.min() for v, i in near])
+        raw = (mass * e.y[[i for _, i in near]]).sum() / (mass.sum() + toxicity.PRIOR) if near else 0.0
+        assert abs(r.score - (0.98 * np.interp(raw, e.raw_at, e.score_at) + 0.02 * raw)) < 1e-6
+    assert len(got) == docs.count() and empty < 0.02 * len(got)
 
 
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{chr(97 + k)}x" for k in rng.integers(0, 26, 12)) + (" badword" if i % 3 == 0 else "") for i in range(300)]
     e = toxicity.Examples(texts, [int(i % 3 == 0) for i in range(300)], (1.0, 1.0))
-    vectors = [e.vector(Counter(toxicity.WORD.findall(t))) for t in texts]
     dense = np.zeros((300, len(e.term)))
-    for i, (ids, x) in enumerate(vectors):
+    for i, (ids, x) in enumerate(e.vectors):
         dense[i, ids] = x
-    for i in (0, 1, 7, 30):
+    for i in range(300):
         s = dense @ dense[i]
         want = sorted([(-v, k) for k, v in enumerate(s) if v > 0])[: toxicity.NEIGHBOURS]
-        assert np.allclose([v for v, _ in e.nearest(vectors[i])], [-v for v, _ in want])
+        assert np.allclose([v for v, _ in e.nearest(e.vectors[i])], [-v for v, _ in want])
 
 
 def test_rare_terms_of_examples_count():
@@ -201,7 +230,8 @@ def test_rare_terms_of_examples_count():
     texts = [line() for _ in range(300)] + [line() + " gromthak zarvoli" for _ in range(2)]
     e = toxicity.Examples(texts, [0] * 300 + [1] * 2, (1.0, 1.0))
     assert {"gromthak", "zarvoli", "wax"} <= set(e.term)
-    assert {i for _, i in e.nearest(e.vector(Counter(["gromthak", "zarvoli"])))} == {300, 301}
+    near = e.nearest(e.vector(Counter(["gromthak", "zarvoli"])))
+    assert [e.y[i] for _, i in near] == [1, 1]
     assert e.score("gromthak zarvoli")[0] > e.score("nothing known")[0]
     assert e.nearest(e.vector(Counter(["wax", "wbx"])))
 

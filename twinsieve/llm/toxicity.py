@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first 4 to 8 letters. Every term of the examples is
-indexed; its IDF counts in full if it is significantly commoner in toxic examples
-than in others, and down to ``ORDINARY`` of it if it is not. The examples, a bounded
-sample of the labelled rows, stand in an inverted index whose postings lie in blocks
-of examples with the largest weight of each term in each block. A query visits blocks
-by falling upper bound and stops when no block can change its nearest examples, so
-the neighbours are exact. Votes are weighted by similarity, and the vote is calibrated
-by isotonic regression over left-out examples.
+Terms are words and their first 5 letters. Every term of the examples is indexed, and
+examples of both labels can be neighbours. The term weights are TF-IDF with a relevance
+factor learnt from the labels of the examples: the IDF counts in full if the term is
+significantly commoner in toxic examples than in others, and down to ``ORDINARY`` of it
+if it is not. The examples, a bounded sample of the labelled rows, stand in an inverted
+index whose postings lie in blocks of examples with the largest weight of each term in
+each block. A query visits blocks by falling upper bound and stops as soon as the next
+bound cannot change its nearest examples, so the neighbours are exact. Votes are weighted
+by similarity, and calibrated by isotonic regression over labelled rows that are no
+examples: they are not in the index and no weight was learnt from them.
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from twinsieve.llm.shared import crc_of_id, single_threaded
 
-#: Bound of the sample: examples of each label.
-EXAMPLES = 2000
+#: Bounds of the samples of each label: examples, and rows that votes are calibrated on.
+EXAMPLES, CALIBRATION = 2000, 500
 NEIGHBOURS, BLOCK = 15, 64
-#: Blocks of the highest bounds that a query visits first; what they give decides which others can matter.
+#: Blocks that a query visits at first before it looks at the bounds again; each time twice as many.
 OPENING = 4
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (5,)
 #: Mass of the prior in a vote, in units of squared similarity.
 PRIOR = 0.05
 #: What part of its IDF a term keeps that is not commoner in toxic examples, and the log-likelihood gain at which half of the rest counts.
@@ -47,14 +50,13 @@ def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Examples:
-    def __init__(self, texts: list[str], toxic: list[int], share: tuple[float, float]):
-        """share: what part of all rows with label 0, and 1, the examples are."""
-        y = np.array(toxic, int)
+    def __init__(self, texts: list[str], toxic: list[int], share: tuple[float, float], others: list[tuple[str, int]] = ()):  # type: ignore[assignment]
+        """share: what part of all rows with label 0, and 1, the examples are. others: (text, label) to calibrate on."""
         bags = [Counter(WORD.findall(t.lower())) for t in texts]
         pos, neg = Counter(), Counter()
         for bag, label in zip(bags, toxic, strict=True):
             (pos if label else neg).update({t for w in bag for t in word_terms(w)})
-        n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+        n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
         terms = sorted(pos.keys() | neg.keys())
         self.term = {t: i for i, t in enumerate(terms)}
         weight = np.array([1 / share[0], 1 / share[1]])
@@ -63,11 +65,15 @@ class Examples:
         self.idf = np.log(1 + total / (1 + b * weight[0] + a * weight[1])) * self.relevance(a, b, n1, n0)
         self.known: dict[str, tuple[int, ...]] = {}
         vectors = [self.vector(bag) for bag in bags]
-        self.y, self.w = y, weight[y]
-        self._index(vectors)
+        # Examples with the same heaviest term are neighbours in the index, so that bounds of blocks differ.
+        order = sorted(range(len(texts)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
+        self.y = np.array([toxic[i] for i in order], int)
+        self.w = weight[self.y]
+        self.vectors = [vectors[i] for i in order]
+        self._index(self.vectors)
         self.raw_at, self.score_at = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        raw = np.array([self.vote(v, skip=i)[0] for i, v in enumerate(vectors)]) if len(y) else np.zeros(0)
-        self._calibrate(raw)
+        y = np.array([label for _, label in others], int)
+        self._calibrate(np.array([self.vote(self.vector(Counter(WORD.findall(t.lower()))))[0] for t, _ in others]), y, weight[y])
 
     @staticmethod
     def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -80,7 +86,7 @@ class Examples:
         return ORDINARY + (1 - ORDINARY) * gain / (gain + GAIN**2)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "vectors": []}
 
     def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term ids and weights of unit length; both empty if no term is known."""
@@ -115,62 +121,59 @@ class Examples:
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.cells = np.searchsorted(ids[first], np.arange(len(self.term) + 1)).astype(np.int32)
 
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k nearest examples with a similarity over 0: (similarity, example), exact; ties by example."""
         ids, q = vector
         if not len(ids):
             return []
         cells, n = ranges(self.cells[ids], self.cells[ids + 1])
-        bound = np.bincount(self.block[cells], np.repeat(q, n) * self.most[cells], self.blocks)
+        q = np.repeat(q, n)
+        bound = np.bincount(self.block[cells], q * self.most[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        # Where the bounds hardly fall no block can be left out, and whole terms are read at once.
-        if len(order) and bound[order[len(order) // 2]] > bound[order[0]] / 2:
-            at, n = ranges(self.start[self.cells[ids]], self.start[self.cells[ids + 1]])
-            return self._best(at, np.repeat(q, n), k, skip)
-        best = self._within(cells, np.repeat(q, n), order[:OPENING], k, skip)
-        rest = order[OPENING:]
-        if len(rest) and len(best) == k:
-            rest = rest[bound[rest] >= best[-1][0] - 1e-12]
-        if len(rest):
-            best = sorted(best + self._within(cells, np.repeat(q, n), rest, k, skip), key=lambda x: (-x[0], x[1]))[:k]
+        best: list[tuple[float, int]] = []
+        at, step = 0, OPENING
+        while at < len(order):
+            # Sums in another order differ in the last digits, so a bound must be clearly below.
+            if len(best) == k and bound[order[at]] < best[-1][0] - 1e-12:
+                break
+            part = order[at : at + step]
+            if len(best) == k:
+                part = part[bound[part] >= best[-1][0] - 1e-12]
+            best = sorted(best + self._within(cells, q, part, k), key=lambda x: (-x[0], x[1]))[:k]
+            at, step = at + step, 2 * step
         return best
 
-    def _within(self, cells: np.ndarray, q: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+    def _within(self, cells: np.ndarray, q: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k nearest examples of some blocks; cells: of the query's terms, q: the query's weight in each."""
-        on = np.zeros(self.blocks, bool)
-        on[blocks] = True
-        on = on[self.block[cells]]
-        cells, q = cells[on], q[on]
+        if len(blocks) < self.blocks:
+            on = np.zeros(self.blocks, bool)
+            on[blocks] = True
+            on = on[self.block[cells]]
+            cells, q = cells[on], q[on]
         at, n = ranges(self.start[cells], self.start[cells + 1])
-        return self._best(at, np.repeat(q, n), k, skip)
-
-    def _best(self, at: np.ndarray, q: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
-        """The k nearest examples by the postings at some places; q: the query's weight at each."""
-        s = np.bincount(self.who[at], q * self.weight[at], len(self.y))
-        if skip >= 0:
-            s[skip] = 0
+        s = np.bincount(self.who[at], np.repeat(q, n) * self.weight[at], len(self.y))
         hit = np.flatnonzero(s > 0)
         if len(hit) > k:
             least = np.partition(s[hit], len(hit) - k)[len(hit) - k]
             hit = hit[s[hit] >= least]
         return sorted(zip(s[hit].tolist(), hit.tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(vector, skip=skip)
+    def vote(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
+        near = self.nearest(vector)
         if not near:
             return 0.0, near
         s, i = np.array([x[0] for x in near]) ** 2, [x[1] for x in near]
         mass = s * self.w[i] / self.w.min()
         return float((mass * self.y[i]).sum() / (mass.sum() + PRIOR)), near
 
-    def _calibrate(self, raw: np.ndarray) -> None:
+    def _calibrate(self, raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Pool adjacent violators: the share of toxic rows by raw vote, never falling."""
         if not len(raw):
             return
         order = np.argsort(raw, kind="stable")
         pools: list[list[float]] = []
-        for x, y, w in zip(raw[order], self.y[order], self.w[order], strict=True):
+        for x, y, w in zip(raw[order], labels[order], weights[order], strict=True):
             if pools and pools[-1][3] == x:
                 pools[-1][0] += w * y
                 pools[-1][1] += w
@@ -189,30 +192,35 @@ class Examples:
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> Examples:
-    """The labelled sample: by the hash of doc_id, about ``EXAMPLES`` rows of each label at most."""
+    """The labelled samples: by the hash of doc_id, about ``EXAMPLES`` and ``CALIBRATION`` rows of each label at most, parted 4 to 1 where there are fewer."""
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     one = one.where(F.col("toxic").isin(0, 1) & (F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) != 0))
     counts = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
-    rate = {y: min(1.0, EXAMPLES / counts[y]) if counts.get(y) else 1.0 for y in (0, 1)}
+    both = EXAMPLES + CALIBRATION
+    rate = {y: min(1.0, both / counts[y]) if counts.get(y) else 1.0 for y in (0, 1)}
     limit = F.when(F.col("toxic") == 1, F.lit(int(rate[1] * (1 << 40)))).otherwise(F.lit(int(rate[0] * (1 << 40))))
-    # About twice EXAMPLES ids: the sample's bound is the bound of this broadcast.
-    ids = one.where(key < limit).limit(4 * EXAMPLES)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").limit(4 * EXAMPLES).collect()
-    seen = {r.text: r.toxic for r in sorted(rows, key=lambda r: (r.doc_id, r.text, r.toxic))}
+    # About twice EXAMPLES + CALIBRATION ids: the sample's bound is the bound of this broadcast.
+    ids = one.where(key < limit).select("doc_id", "toxic", (key < limit * (EXAMPLES / both)).alias("indexed")).limit(4 * both)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").limit(4 * both).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.text, r.toxic))
+    seen = {r.text: r.toxic for r in rows if r.indexed}
+    others = {r.text: r.toxic for r in rows if not r.indexed and r.text not in seen}
     texts = sorted(seen)
-    return Examples(texts, [seen[t] for t in texts], (max(rate[0], 1e-9), max(rate[1], 1e-9)))
+    return Examples(texts, [seen[t] for t in texts], (max(rate[0], 1e-9), max(rate[1], 1e-9)), sorted(others.items()))
 
 
 def rate_toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) -> DataFrame:
     """``docs(doc_id, text, ...)`` and ``labels(doc_id, toxic)`` -> docs with held_out, score, predicted (and evidence).
 
     Only labels of rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from. A
-    null or empty text, and one without known terms, gets the share of toxic rows
-    among such examples; without any labels all scores are 0. ``evidence`` has the
-    nearest examples' labels and similarities, nearest first. One row per row; a row
-    without doc_id is scored and not held out. Of labels that contradict each other
-    for one doc_id, 1 holds.
+    null or empty text, and one without known terms, has no neighbours and gets what the
+    calibration gives for a vote of 0; without any labels all scores are 0. ``evidence``
+    has the nearest examples' labels and similarities, nearest first; of equally near
+    ones the first in the index. One row per row: repeated rows and rows without doc_id
+    are scored like others, the latter not held out. Of labels that contradict each other
+    for one doc_id, 1 holds. An empty table gives no rows. Texts of any length are read
+    whole. Columns of docs named like one of the new ones are replaced by it.
     """
     named = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(examples(named, labels))
@@ -220,8 +228,8 @@ def rate_toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) ->
     held = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     docs = docs.withColumn("held_out", held)
     columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double, predicted int"
-    schema += ", evidence array<struct<label: int, similarity: double>>" if evidence else ""
+    more = "score double, predicted int" + (", evidence array<struct<label: int, similarity: double>>" if evidence else "")
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
