@@ -5,11 +5,12 @@ their neighbours and features of the file, and is decoded by Viterbi. It is trai
 here by maximum likelihood on generated lines: secrets of many kinds in many
 contexts, and look-alikes that are none.
 
-A chunk (between white space) is *plain* if it is shorter than ``LEAST``, has no digit,
-``=``, ``:`` or ``_`` and does not follow a chunk that ends in ``:`` or ``=``. No span
-within it could be reported. All features of a plain chunk's tokens are one constant,
-set so that its margin for *outside* is larger than all that transitions can add. The best path is therefore outside there whatever surrounds it,
-and decoding each run of other chunks between two outside tokens is exact.
+All tokens of the whole text have features. A token is *certain* if its own margin for
+*outside* exceeds all that the learnt transitions to and from any neighbours can give
+another label; replacing another label there would always gain, so the best path is
+outside there. Only the tokens between certain ones are decoded, and the result is that
+of decoding the whole text. Long texts are read in segments, with the neighbours across
+a segment's ends.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed patterns: kind, pattern, least length and the group it holds for.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -32,12 +35,20 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
 
 O, B, I = 0, 1, 2
-TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={1,2}(?![A-Za-z0-9])|[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*|[^\sA-Za-z0-9+/_-]")
-MARK = re.compile(r"[0-9=:_]|(?<!\S)\S{12}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={1,2}(?![A-Za-z0-9])|[\w+/-]+(?:\.[\w+/-]+)*|[^\s\w+/-]")
 SPACE = re.compile(r"\s")
 NAMES = re.compile(r"(?i)pass(?:word|wd|phrase)?$|pwd$|secret|token|api.?key|credential|auth|bearer|private|signature|access.?key|accountkey|client.?key")
+RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]")
+NOT_HEX = re.compile(r"[^0-9a-f]")
+PREFIX = re.compile(r"(ghp|gho|sk|pk|rk|xox[abp]|glpat|npm|AKIA|ASIA|AIza|eyJ|SG)[._-]?")
+NUMERIC = re.compile(r"\d[\d./-]*")
+UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 #: Shortest span that the field may add.
 LEAST = 12
+#: Code points of a text that are read at a time, and words that are remembered.
+SEGMENT, REMEMBERED = 1 << 18, 1 << 19
+#: Tokens before one in which a name counts.
+NAMED = 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -56,32 +67,37 @@ def join_spans(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _shape(w: str) -> list[str]:
-    """Shape features of a token that is not plain."""
-    n, digits = len(w), sum(c.isdigit() for c in w)
-    upper, lower = sum(c.isupper() for c in w), sum(c.islower() for c in w)
+    """Shape features of a token; the first one is its kind."""
+    n = len(w)
     if n == 1:
         return [f"p={w}"]
-    runs = re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", re.sub(r"[0-9]+", "9", w)))
-    counts = [w.count(c) / n for c in set(w)]
-    entropy = -sum(p * math.log2(p) for p in counts)
-    kind = "hex" if not re.search(r"[^0-9a-f]", w) and digits and lower else "num" if digits == n else "low" if lower == n else "up" if upper == n else "UP9" if upper + digits == n else "word" if upper == 1 and lower == n - 1 else "mix" if upper and lower and digits else "Aa" if upper + lower == n else "sym"
     length = "s" if n < 8 else "m" if n < 12 else "l" if n < 20 else "x" if n < 40 else "xx"
-    out = [f"k={kind}", f"n={length}", f"kn={kind},{length}", f"r={min(len(runs), 12)}", f"kr={kind},{min(len(runs), 12)}", f"e={round(entropy)},{length}", f"sym={''.join(sorted(set(re.sub('[A-Za-z0-9]', '', w))))}"]
+    varied = f"u={len(set(w)) // 3},{length}"
+    if w.isalpha() and (w.islower() or w[1:].islower()):
+        kind, runs = ("low", 1) if w.islower() else ("word", 2)
+        out = [f"k={kind}", f"n={length}", f"kn={kind},{length}", f"r={runs}", f"kr={kind},{runs}", varied, "sym="]
+    else:
+        digits, upper, lower = sum(c.isdigit() for c in w), sum(c.isupper() for c in w), sum(c.islower() for c in w)
+        runs = min(12, len(RUNS.findall(w)))
+        kind = "hex" if digits and lower and not NOT_HEX.search(w) else "num" if digits == n else "up" if upper == n else "UP9" if upper + digits == n else "mix" if upper and lower and digits else "Aa" if upper + lower == n else "a9" if lower + digits == n else "sym"
+        out = [f"k={kind}", f"n={length}", f"kn={kind},{length}", f"r={runs}", f"kr={kind},{runs}", varied, f"sym={''.join(sorted({c for c in w if not c.isalnum()}))}"]
+        if n >= LEAST and PREFIX.match(w):
+            out.append("prefix")
+        if NUMERIC.fullmatch(w):
+            out.append("numeric")
+        if UUID.fullmatch(w):
+            out.append("uuid")
     if NAMES.search(w):
         out.append("name")
-    if re.match(r"(ghp|gho|sk|pk|rk|xox[abp]|glpat|npm|AKIA|ASIA|AIza|eyJ|SG)[._-]?", w) and n >= LEAST:
-        out.append("prefix")
-    if re.fullmatch(r"\d[\d./-]*", w):
-        out.append("numeric")
-    if re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", w):
-        out.append("uuid")
     return out
 
 
-def _as_neighbour(w: str) -> str:
+def _as_neighbour(w: str, shape: Sequence[str]) -> str:
+    """The class of a token as a neighbour; it depends on nothing but its shape."""
     if len(w) == 1:
         return w
-    return "NAME" if NAMES.search(w) else "num" if w.isdigit() else "low" if w.islower() and w.isalpha() else "alpha" if w.isalpha() else "other"
+    kind = shape[0][2:]
+    return "NAME" if shape[-1] == "name" else kind if kind in ("num", "low") else "alpha" if kind in ("word", "up", "Aa") else "other"
 
 
 def file_features(text: str) -> list[str]:
@@ -91,106 +107,169 @@ def file_features(text: str) -> list[str]:
     return [f"file:pairs={min(3, int(200 * pairs / n))}", f"file:line={min(4, int(math.log10(n / lines + 1)))}", f"file:code={'{' in text and ';' in text}"]
 
 
-def token_features(tokens: list[str], plain: list[bool], of_file: list[str]) -> list[list[str]]:
+def token_features(tokens: list[str], of_file: list[str]) -> list[list[str]]:
+    """All features of all tokens of a text, by name."""
     out = []
-    side = [_as_neighbour(w) for w in tokens]
-    for i, w in enumerate(tokens):
-        if plain[i]:
-            out.append(["plain"])
-            continue
+    shapes = [_shape(w) for w in tokens]
+    side = [_as_neighbour(w, f) for w, f in zip(tokens, shapes, strict=True)]
+    for i, f in enumerate(shapes):
         a, b = side[i - 1] if i else "^", side[i - 2] if i > 1 else "^"
         c = side[i + 1] if i + 1 < len(tokens) else "$"
-        named = any(x == "NAME" for x in side[max(0, i - 4) : i])
-        f = _shape(w)
-        f += [f"-1={a}", f"-2={b}", f"+1={c}", f"-2-1={b},{a}", f"named={named}", f"named,{f[0]}={named}"]
-        out.append(f + of_file + ["bias"])
+        named = any(x == "NAME" for x in side[max(0, i - NAMED) : i])
+        out.append([*f, f"-1={a}", f"-2={b}", f"+1={c}", f"-2-1={b},{a}", f"named={named}", f"named,{f[0]}={named}", *of_file, "bias"])
     return out
 
 
-def chunks(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of neighbouring chunks that are not plain, each chunk as (start, end)."""
-    run: list[tuple[int, int]] = []
+def segments(text: str, size: int) -> Iterator[tuple[int, int]]:
+    """Cuts a text at white space, after about ``size`` code points each."""
     at, n = 0, len(text)
+    while at < n:
+        m = SPACE.search(text, at + size) if at + size < n else None
+        end = m.start() if m else n
+        yield at, end
+        at = end
 
-    def end_of(i: int) -> int:
-        m = SPACE.search(text, i)
-        return m.start() if m else n
-
-    while True:
-        m = MARK.search(text, at)
-        start = None
-        if m:
-            start = m.start()
-            while start > at and not text[start - 1].isspace():
-                start -= 1
-        if run:
-            follow = run[-1][1]
-            while follow < n and text[follow].isspace():
-                follow += 1
-            if follow < n and (text[run[-1][1] - 1] in ":=" or follow == start):
-                start = follow
-            else:
-                yield run
-                run = []
-        if start is None:
-            return
-        at = end_of(start)
-        run.append((start, at))
+
+class _Remembered(dict):
+    def __init__(self, make: Callable[[str], int]):
+        self.make = make
+
+    def __missing__(self, w: str) -> int:
+        i = self[w] = self.make(w)
+        return i
 
 
 class Field:
-    """Weights of the features by label, and of transitions."""
+    """Weights of the features by label, and of transitions; scores all tokens of a segment at once."""
 
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray):
         self.weights, self.moves = weights, moves
         zero = np.zeros(3)
-        plain = weights.get("plain", zero)
-        swing = float(moves.max() - moves.min())
-        self.plain_is_outside = plain[O] - max(plain[B], plain[I]) > 4 * swing
-
-    def decode(self, features: list[list[str]]) -> list[int]:
+        get = lambda name: weights.get(name, zero)
+        sides = sorted({x for f in weights for x in (f[3:] if f.startswith(("-1=", "-2=", "+1=")) else "",) if x} | {"^", "$"})
+        self.side = {x: i for i, x in enumerate(sides)}
+        self.no_side = len(sides)
+        sides.append("")
+        # A neighbour that training never had is the last class, whose weights are 0.
+        self.before = np.array([[get(f"-2={b}") + get(f"-1={a}") + get(f"-2-1={b},{a}") for a in sides] for b in sides]).reshape(-1, 3)
+        self.after = np.array([get(f"+1={c}") for c in sides])
+        kinds = sorted({f[6 : f.rindex("=")] for f in weights if f.startswith("named,")})
+        self.kind = {x: i for i, x in enumerate(kinds)}
+        self.named = np.array([[get(f"named={v}") + get(f"named,{k}={v}") for v in (False, True)] for k in [*kinds, ""]]).reshape(-1, 3)
+        # What another label than outside can gain by its transitions, whatever its neighbours are.
+        self.reach = np.array([max(moves[p, y] + moves[y, n] - moves[p, O] - moves[O, n] for p in (O, B, I) for n in (O, B, I)) for y in (B, I)]) + 1e-6
+        self._forget()
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "moves": self.moves}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def _forget(self) -> None:
+        self.ids = _Remembered(self._learn)
+        self.own, self.of = np.zeros((1024, 3)), np.zeros((1024, 3), np.int64)
+        self.by_shape: dict[tuple, tuple] = {}
+
+    def _learn(self, w: str) -> int:
+        """Remembers a word: the weights of its shape; its class as a neighbour, kind, and whether it is a name."""
+        i = len(self.ids)
+        if i == len(self.own):
+            self.own, self.of = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.of, np.zeros_like(self.of)])
+        shape = tuple(_shape(w))
+        known = self.by_shape.get(shape)
+        if known is None:
+            side = _as_neighbour(w, shape)
+            of = self.side.get(side, self.no_side), self.kind.get(shape[0], len(self.kind)), side == "NAME"
+            known = self.by_shape[shape] = sum((self.weights[f] for f in (*shape, "bias") if f in self.weights), np.zeros(3)), of
+        self.own[i], self.of[i] = known
+        return i
+
+    def scores(self, tokens: list[str], left: list[str], right: list[str], of_file: list[str]) -> np.ndarray:
+        """Scores of the labels of each token; left: the four tokens before, right: the one after, as far as there are any."""
+        if len(self.ids) > REMEMBERED:
+            self._forget()
+        words = [*left, *tokens, *right]
+        every = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        side, kind, name = self.of[every].T
+        k, n = len(left), len(tokens)
+        edge = self.side["^"]
+        lag = lambda d: np.concatenate([np.full(d, edge), side])[k : k + n]
+        follow = np.append(side, self.side["$"])[k + 1 : k + 1 + n]
+        names = np.cumsum(np.concatenate([np.zeros(NAMED + 1, np.int64), name]))
+        named = names[k + NAMED : k + NAMED + n] > names[k : k + n]
+        e = self.own[every[k : k + n]] + self.before[lag(2) * (self.no_side + 1) + lag(1)] + self.after[follow] + self.named[2 * kind[k : k + n] + named]
+        return e + sum((self.weights[f] for f in of_file if f in self.weights), np.zeros(3))
+
+    def decode(self, scores: np.ndarray) -> list[int]:
         """Viterbi, with an outside token before and after."""
-        zero, t = np.zeros(3), self.moves
-        best, back = np.array([0.0, -1e9, -1e9]), []
-        for f in features:
-            e = sum((self.weights.get(x, zero) for x in f), zero)
-            s = best[:, None] + t
-            back.append(s.argmax(axis=0))
-            best = s.max(axis=0) + e
-        label = int((best + t[:, O]).argmax())
+        (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = self.moves.tolist()
+        o, b, i, back = 0.0, -1e9, -1e9, []
+        for eo, eb, ei in scores.tolist():
+            x, y, z = o + oo, b + bo, i + io
+            to = (x, O) if x >= y and x >= z else (y, B) if y >= z else (z, I)
+            x, y, z = o + ob, b + bb, i + ib
+            tb = (x, O) if x >= y and x >= z else (y, B) if y >= z else (z, I)
+            x, y, z = o + oi, b + bi, i + ii
+            ti = (x, O) if x >= y and x >= z else (y, B) if y >= z else (z, I)
+            o, b, i = to[0] + eo, tb[0] + eb, ti[0] + ei
+            back.append((to[1], tb[1], ti[1]))
+        x, y, z = o + oo, b + bo, i + io
+        label = O if x >= y and x >= z else B if y >= z else I
         path = []
-        for b in reversed(back):
+        for step in reversed(back):
             path.append(label)
-            label = int(b[label])
+            label = step[label]
         return path[::-1]
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """Spans labelled as secrets, trimmed of quotes and of what a name and its sign take."""
-        out, of_file = [], None
-        runs = chunks(text) if self.plain_is_outside else iter([[(m.start(), m.end()) for m in re.finditer(r"\S+", text)]])
-        for run in runs:
-            of_file = of_file or file_features(text)
-            before = text[max(0, run[0][0] - 120) : run[0][0]].split()[-4:]
-            after = text[run[-1][1] : run[-1][1] + 40].split()[:1]
-            found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, run[0][0], run[-1][1])]
-            lead = [x for w in before for x in TOKEN.findall(w)][-4:]
-            tail = [x for w in after for x in TOKEN.findall(w)][:1]
-            tokens = lead + [x[0] for x in found] + tail
-            features = token_features(tokens, [True] * len(lead) + [False] * len(found) + [True] * len(tail), of_file)
-            labels = self.decode(features)[len(lead) : len(lead) + len(found)]
-            now = None
-            for (_, a, b), y in zip(found, labels, strict=True):
-                if y == B or (y == I and now is None):
-                    if now:
-                        out.append(now)
-                    now = (a, b)
-                elif y == I:
-                    now = (now[0], b)
-                elif now:
-                    out.append(now)
-                    now = None
-            if now:
-                out.append(now)
+    def labelled(self, text: str, segment: int = SEGMENT) -> Iterator[tuple[int, int, int]]:
+        """(start, end, label) of all tokens of a text whose label is not outside, in order."""
+        of_file, left = file_features(text), []
+        open_scores: list[np.ndarray] = []
+        open_places: list[tuple[int, int]] = []
+
+        def close() -> Iterator[tuple[int, int, int]]:
+            if open_places:
+                for (a, b), y in zip(open_places, self.decode(np.concatenate(open_scores)), strict=True):
+                    if y != O:
+                        yield a, b, y
+                open_scores.clear()
+                open_places.clear()
+
+        for start, end in segments(text, segment):
+            tokens = TOKEN.findall(text, start, end)
+            if not tokens:
+                continue
+            m = TOKEN.search(text, end)
+            e = self.scores(tokens, left, [m[0]] if m else [], of_file)
+            left = (left + tokens[-NAMED:])[-NAMED:]
+            doubt = (e[:, 1:] + self.reach >= e[:, :1]).any(axis=1)
+            if not doubt.any():
+                yield from close()
+                continue
+            if not doubt[0]:
+                yield from close()
+            runs = np.flatnonzero(np.diff(np.concatenate([[False], doubt, [False]]).astype(np.int8))).reshape(-1, 2)
+            places, at = TOKEN.finditer(text, start, end), 0
+            for a, z in runs.tolist():
+                open_scores.append(e[a:z])
+                open_places.extend(m.span() for m in islice(places, a - at, z - at))
+                at = z
+                if z < len(tokens):
+                    yield from close()
+        yield from close()
+
+    def spans(self, text: str, segment: int = SEGMENT) -> list[tuple[int, int]]:
+        """Spans labelled as secrets, of ``LEAST`` code points at least."""
+        out: list[tuple[int, int]] = []
+        last = -1
+        for a, b, y in self.labelled(text, segment):
+            # Inside goes on only with the token before; tokens are apart by white space at most.
+            if y == I and last >= 0 and not TOKEN.search(text, last, a):
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+            last = b
         return [s for s in out if s[1] - s[0] >= LEAST]
 
 
@@ -202,7 +281,7 @@ def _text(rng: random.Random, letters: str, a: int, b: int) -> str:
 
 
 def _word(rng: random.Random) -> str:
-    w = _text(rng, _LOW, 2, 11)
+    w = _text(rng, _LOW if rng.random() < 0.7 else _LOW + "éèêçöäüßñóí", *((2, 11) if rng.random() < 0.85 else (8, 26)))
     return w.capitalize() if rng.random() < 0.12 else w
 
 
@@ -221,6 +300,11 @@ def _phrase(rng: random.Random) -> str:
     return rng.choice((lambda: "-".join(_text(rng, _LOW, 3, 9) for _ in range(4)), lambda: _text(rng, _LOW, 14, 30)))()
 
 
+def _escaped(rng: random.Random) -> str:
+    """A secret of several tokens, as in a query string."""
+    return "".join(_text(rng, _UP + _LOW + _NUM, 4, 12) + "%" + rng.choice(("2B", "2F", "3D")) for _ in range(rng.randint(3, 5)))
+
+
 def _lookalike(rng: random.Random) -> str:
     num = lambda a, b: _text(rng, _NUM, a, b)
     return rng.choice((
@@ -231,6 +315,7 @@ def _lookalike(rng: random.Random) -> str:
         lambda: f"{_word(rng)}: {_word(rng)}", lambda: f"{_text(rng, _UP, 1, 3)}-{num(2, 5)}", lambda: f"{num(3, 3)}-{num(2, 2)}-{num(4, 4)}", lambda: f"{_text(rng, '0123456789abcdef', 8, 8)}-{_text(rng, '0123456789abcdef', 4, 4)}-4{num(3, 3)}-a{num(3, 3)}-{_text(rng, '0123456789abcdef', 12, 12)}",
         lambda: f"/{_text(rng, _LOW, 2, 7)}/{_text(rng, _LOW, 3, 9)}_{num(1, 3)}.{rng.choice(('txt', 'html', 'py'))}", lambda: f"{_word(rng)}={_word(rng)}", lambda: f"{rng.choice(('password', 'token', 'secret'))}: {rng.choice(('none', 'required', 'optional', 'see below', '<redacted>', '****'))}",
         lambda: _text(rng, _LOW, 12, 24), lambda: "-".join(_text(rng, _LOW, 2, 9) for _ in range(rng.randint(2, 5))), lambda: _word(rng).capitalize() + "".join(_text(rng, _LOW, 3, 8).capitalize() for _ in range(2)), lambda: _text(rng, _UP, 12, 16), lambda: f"{_text(rng, _LOW, 3, 9)}@{_text(rng, _LOW, 3, 8)}.example.com",
+        lambda: " ".join(_word(rng) + rng.choice(("!!", "###", "$$$", "%%%", "&&&", "***", "...")) for _ in range(rng.randint(1, 4))), lambda: f"{num(1, 3)}%", lambda: f"{_word(rng)}%20{_word(rng)}%2C", lambda: _text(rng, _UP, 2, 9) + "!!",
         lambda: _text(rng, _LOW, 12, 30) + ":", lambda: f"{num(1, 3)}{_text(rng, _LOW, 1, 3)}", lambda: f"{_word(rng)}{num(1, 4)}",
     ))()
 
@@ -253,7 +338,8 @@ def generated(count: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
                     text += (name + rng.choice((" ", ": ")) if "Bearer" in name else rng.choice(("", q)) + name + rng.choice(("=", " = ", ": ", ":", " ", " is ", '": "' if q == '"' else ":"))) + q
                 else:
                     q = ""
-                s = _phrase(rng) if named and rng.random() < 0.15 else _secret(rng)
+                k = rng.random()
+                s = _phrase(rng) if named and k < 0.15 else _escaped(rng) if named and k < 0.25 else _secret(rng)
                 spans.append((len(text), len(text) + len(s)))
                 text += s + q
             text += rng.choice((" ", " ", ". ", "\n", ", "))
@@ -264,15 +350,12 @@ def generated(count: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
 def _sequences(lines: list[tuple[str, list[tuple[int, int]]]]) -> list[tuple[list[list[str]], list[int]]]:
     out = []
     for text, spans in lines:
-        marked = {c for run in chunks(text) for c in run}
-        tokens, plain, labels = [], [], []
-        for m in re.finditer(r"\S+", text):
-            for t in TOKEN.finditer(text, m.start(), m.end()):
-                a, b = next(((a, b) for a, b in spans if t.start() < b and a < t.end()), (-1, -1))
-                tokens.append(t[0])
-                plain.append((m.start(), m.end()) not in marked)
-                labels.append(O if a < 0 else B if t.start() <= a or not labels or labels[-1] == O else I)
-        out.append((token_features(tokens, plain, file_features(text)), labels))
+        tokens, labels = [], []
+        for t in TOKEN.finditer(text):
+            a = next((a for a, b in spans if t.start() < b and a < t.end()), -1)
+            tokens.append(t[0])
+            labels.append(O if a < 0 else B if t.start() <= a or not labels or labels[-1] == O else I)
+        out.append((token_features(tokens, file_features(text)), labels))
     return out
 
 
@@ -334,35 +417,37 @@ def train(count: int = 1200, seed: int = 7, rounds: int = 60, rate: float = 0.4,
         gm += dm * dm
         w += rate * dw / np.sqrt(gw)
         moves += rate * dm / np.sqrt(gm)
-    # The constant of plain chunks is set, so that it outweighs any transitions.
-    swing = float(moves.max() - moves.min())
-    k = names["plain"]
-    w[k] = [max(w[k, O], 8 * swing + 8), min(w[k, B], 0), min(w[k, I], 0)]
     return Field({x: w[i] for x, i in names.items()}, moves)
 
 
 def all_spans(text: str, field: Field) -> tuple[list, list]:
     """Base spans, and these with the field's spans that touch none of them."""
     base = base_spans(text)
-    more = [(a, b, "crf") for a, b in field.spans(text) if not any(a < y and x < b for x, y, _ in base)]
+    more, at, reach = [], 0, 0
+    for a, b in field.spans(text):
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= a:
+            more.append((a, b, "crf"))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def find_secrets(docs: DataFrame, mark: str | None = None) -> DataFrame:
     """Adds to ``docs(doc_id, text, ...)``: n_assign, n_access, n_hex, base_sha256, spans (and redacted).
 
-    Spans are ``kind:start:end`` in code points, end exclusive, over the whole text.
-    With ``mark`` the column ``redacted`` has the text with each run of overlapping
-    spans replaced by it. A null or empty text has no spans (and stays as it is). One
-    row per row; null ids and repeated rows are rows like others.
+    Spans are ``kind:start:end`` in code points, end exclusive, over the whole text,
+    however long it is. With ``mark`` the column ``redacted`` has the text with each run
+    of overlapping spans replaced by it. A null or empty text has no spans (and stays as
+    it is). Spans of one start are in the order of the kinds. One row per row; null ids
+    and repeated rows are rows like others, and an empty table gives no rows. Columns of
+    docs named like one of the new ones are replaced by it.
     """
-    kept = [c for c in docs.columns]
-    clash = {"n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"} & set(kept)
-    docs = docs.drop(*clash)
+    docs = docs.drop(*({"n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"} & set(docs.columns)))
     kept = docs.columns
     field = train()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += ", n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", redacted string" if mark is not None else "")
+    more = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", redacted string" if mark is not None else "")
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -398,5 +483,3 @@ def redact(text: str | None, spans: list[tuple[int, int, str]], mark: str) -> st
 
 def digest(docs: DataFrame) -> DataFrame:
     return find_secrets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text")
-
-
