@@ -268,6 +268,47 @@ def test_language(spark, docs, odd):
     assert {(2, "und"), (3, "und"), (4, "und"), (1, "en")} <= got and langid.identify(odd.limit(0)).count() == 0
 
 
+def test_language_kernel_is_the_dense_one():
+    """Scores against the normalised kernel of n-gram sets, Nystroem features and ridge regression, all dense."""
+    rng = np.random.default_rng(5)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "αβγδεab"}
+    rows = [("".join(rng.choice(list(letters[y] + " "), int(rng.integers(2, 60)))), y) for _ in range(40) for y in letters]
+    model = langid.fit(rows)
+    sets = lambda t: {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+    k = lambda a, b: len(sets(a) & sets(b)) / np.sqrt(len(sets(a)) * len(sets(b)))
+    marks = [t for y in "abc" for t in [x for x, z in rows if z == y][: langid.LANDMARKS]]
+    value, vector = np.linalg.eigh(np.array([[k(a, b) for b in marks] for a in marks]))
+    keep = value > 1e-6 * value.max()
+    whiten = vector[:, keep] / np.sqrt(value[keep])
+    z = np.array([[k(t, m) for m in marks] for t, _ in rows]) @ whiten
+    y = np.array([[1.0 if c == lang else -1.0 for c in "abc"] for _, lang in rows])
+    coef = np.linalg.solve(z.T @ z + 1e-2 * len(rows) * np.eye(z.shape[1]), z.T @ y)
+    new = ["abcab ghe", "ααβ γ", "zzzq", "ijkl e", "x" * 50 + "abc"]
+    want = np.array([[k(t, m) for m in marks] for t in new]) @ whiten @ coef
+    assert np.allclose(model.scores(new), want, atol=1e-4)
+
+
+def test_grams_in_segments():
+    t = "abcÄ東" * 9 + "xyzzy"
+    whole, size = langid.grams(t), langid.SEGMENT
+    try:
+        langid.SEGMENT = 7
+        assert (langid.grams(t) == whole).all()
+    finally:
+        langid.SEGMENT = size
+    assert len(whole) == len({t.lower()[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)})
+
+
+def test_seventy_languages(spark):
+    """Each language has its own letters, and one has a single row; all can be predicted."""
+    word = lambda y, k: "".join(chr(0x4E00 + 40 * y + (k * 7 + j) % 40) for j in range(12))
+    data = [(100 * y + k, word(y, k), f"l{y:02d}") for y in range(70) for k in range(8)]
+    lone = next(i for i in range(90_000, 90_100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    data += [(lone, "ωψχφυτ", "lone"), *((lone + 1000 + k, "ωψχφυτ", None) for k in range(3))]
+    r = langid.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).toPandas().set_index("doc_id")
+    assert all(r.lang_pred[i] == y for i, _, y in data if y) and all(r.lang_pred[lone + 1000 + k] == "lone" for k in range(3))
+
+
 def test_toxicity(spark, docs, odd):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
