@@ -373,19 +373,44 @@ def test_rare_terms_of_examples_count():
     assert e.nearest(e.vector(Counter(["wax", "wbx"])))
 
 
+def brute_vectors(data, least=0.93):
+    """(vec_id, n_links, component_id, kept) of rows (vec_id, vector, label) with valid vectors."""
+    ids, lab = np.array([d[0] for d in data]), np.array([d[2] for d in data])
+    u = embed_hnsw.unit([d[1] for d in data])
+    near = (u @ u.T >= least) & (lab[:, None] == lab[None]) & ~np.eye(len(ids), dtype=bool)
+    comp = ids.copy()
+    while True:
+        least_near = np.minimum(comp, np.where(near, comp[None], ids.max() + 1).min(axis=1))
+        if (least_near == comp).all():
+            return {i: (int(k), int(c), bool(c == i)) for i, k, c in zip(ids.tolist(), near.sum(axis=1), comp, strict=True)}
+        comp = least_near
+
+
+def vector_results(df, **settings):
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_hnsw.near_vectors(df, settings=Graph(**settings)).collect()}
+
+
 def test_vectors(spark):
     nan, rng = float("nan"), np.random.default_rng(0)
     centres = rng.standard_normal((40, 16))
     x = np.concatenate([centres + rng.standard_normal(centres.shape) * s for s in (0, 0.05, 0.1, 0.2)])
-    data = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)] + [(500, data.tolist(), 0) for data in x[:1]] + [(901, [0.0] * 16, 0), (902, None, 0), (903, [nan] * 16, 0), (904, x[0].tolist(), None), (None, x[0].tolist(), 0)]
+    good = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)] + [(500, x[0].tolist(), 0)]
+    bad = [(901, [0.0] * 16, 0), (902, None, 0), (903, [nan] * 16, 0), (904, x[0].tolist(), None), (905, [1.0, 2.0], 0)]
+    df = spark.createDataFrame([(*d, "own") for d in [*good, *bad, (None, x[0].tolist(), 0)]], "vec_id long, embedding array<double>, label int, n_links string")
+    got, want = vector_results(df, shard=30, block=16), brute_vectors(good)
+    assert sum(w[0] for w in want.values()) > 50 and {i: got[i] for i in want} == want
+    assert all(got[i] == (0, i, True) for i, _, _ in bad) and got[None] == (0, None, True) and len(got) == len(good) + len(bad) + 1
+    assert embed_hnsw.near_vectors(df.limit(0)).count() == 0
+
+
+def test_tight_cluster_over_shards(spark):
+    """A third of all rows are near copies of one vector; each has links with all of them, in every shard."""
+    rng = np.random.default_rng(7)
+    one = rng.standard_normal(16)
+    x = np.concatenate([one + 0.03 * rng.standard_normal((900, 16)), rng.standard_normal((1800, 16))])
+    data = [(int(i), v.tolist(), 0) for i, v in zip(rng.permutation(len(x)), x, strict=True)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r for r in embed_hnsw.near_vectors(df, settings=Graph(shard=30, block=16)).collect()}
-    ids, lab = [d[0] for d in data[:161]], [d[2] for d in data[:161]]
-    u = embed_hnsw.unit([d[1] for d in data[:161]])
-    near = (u @ u.T >= 0.93) & (np.array(lab)[:, None] == np.array(lab)[None]) & ~np.eye(161, dtype=bool)
-    assert len(got) == len(data) and near.sum() > 50
-    assert sum(got[i].n_links for i in ids) == near.sum()
-    assert all(got[i].n_links == 0 and got[i].kept for i in (901, 902, 903, 904, None))
+    assert vector_results(df, shard=700, block=256, tested=64) == brute_vectors(data)
 
 
 def test_few_links_across_shards_are_found(spark):

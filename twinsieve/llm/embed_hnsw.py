@@ -2,20 +2,27 @@
 
 Equal vectors of a label are one node that carries their number. The nodes of a
 label are dealt to shards of bounded size; each shard gets a hierarchical graph,
-which is stored. Every node then queries every shard of its label, in blocks of a
-bounded number of queries. A search goes on as long as what it meets is near enough
-to the threshold, so a node in a large group finds all of it. Each cell answers some
-of its queries by brute force, until these have a fixed number of links with other
-nodes or no query is left. The search must find all of them: the beam, and what counts
-as near enough, double until it does, and if they cannot the cell is scanned. A pair counts only
-if its cosine in double precision reaches the threshold. A cell returns a count per
-query and a spanning forest of its links, never all pairs.
+which its task writes to a file in the shared folder. Every node then queries every
+shard of its label: a cell is one shard's graph and a block of the nodes of one shard,
+and what Spark deals out are only the cells' numbers. A task opens a graph once for all
+its cells with it and reads each block of vectors from its shard's file, so no vector
+or graph is shuffled for a cell.
+
+A search goes on as long as what it meets is near enough to the threshold, so a node
+in a large group finds all of it. Each cell answers some of its queries by brute
+force, until these have a fixed number of links with other nodes or no query is left.
+The search must find all of them: the beam, and what counts as near enough, double
+until it does, and if they cannot the cell is scanned. A pair counts only if its cosine
+in double precision reaches the threshold. A cell returns a count per query and a
+spanning forest of its links, which it joins as it goes; no list of pairs is held.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,34 +31,80 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.components import components
 from twinsieve.llm.settings import Graph
-from twinsieve.llm.shared import settle, single_threaded
+from twinsieve.llm.shared import filesystem, fresh_path, settle, single_threaded
 from twinsieve.llm.shingles import mix
 
 
 class SmallWorld:
-    """A hierarchical navigable small-world graph over unit vectors; node = row number."""
+    """A hierarchical navigable small-world graph over unit vectors; node = row number.
+
+    Nodes enter in order. The candidates for a node's links are the nearest of all
+    nodes before it on the layer, found exactly by products of blocks; of these the
+    spread ones are taken. Links back are added and pruned once, when all have entered.
+    """
 
     def __init__(self, vectors: np.ndarray, keys: np.ndarray, s: Graph):
         self.x, self.s, n = vectors, s, len(vectors)
         u = (mix(keys.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        self.level = np.minimum(np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(s.degree)), 12).astype(int)
-        self.links: list[dict[int, np.ndarray]] = [{} for _ in range(int(self.level.max(initial=0)) + 1)]
-        self.seen, self.mark, self.entry = np.zeros(n, np.int64), 0, -1
-        for i in range(n):
-            self._insert(i)
-        self._both_ways()
-
-    def _both_ways(self) -> None:
-        """Lowest layer: each link also leads back, so pruning leaves no node that others cannot reach."""
-        links = self.links[0]
-        a, b = np.repeat(np.fromiter(links, np.int64, len(links)), [len(x) for x in links.values()]), np.concatenate([*links.values(), np.zeros(0, np.int64)])
-        pairs = np.unique(np.stack([np.concatenate([a, b]), np.concatenate([b, a])], axis=1), axis=0)
-        cuts = np.searchsorted(pairs[:, 0], np.arange(len(self.x) + 1))
-        for i in links:
-            links[i] = pairs[cuts[i] : cuts[i + 1], 1].copy()
-
-    def search(self, q: np.ndarray, entries: list[int], width: int, layer: int, reach: float = 2.0) -> list[tuple[float, int]]:
-        """The best ``width`` nodes found, and all nodes met with at least ``reach``: (similarity, node)."""
+        level = np.minimum(np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(s.degree)), 12).astype(int)
+        self.links: list[dict[int, np.ndarray]] = []
+        for layer in range(int(level.max(initial=0)) + 1):
+            self.links.append(self._layer(np.flatnonzero(level >= layer), s.degree * (2 if layer == 0 else 1)))
+        self.top, self.entry = len(self.links) - 1, int(np.flatnonzero(level >= len(self.links) - 1)[0]) if n else -1
+        self.seen, self.mark = np.zeros(n, np.int64), 0
+
+    def _layer(self, members: np.ndarray, most: int) -> dict[int, np.ndarray]:
+        x, s, n = self.x[members], self.s, len(members)
+        taken: list[list[int]] = [[] for _ in range(n)]
+        for at in range(0, n, 256):
+            end = min(n, at + 256)
+            near = x[at:end] @ x[:end].T
+            near[np.arange(end)[None, :] >= np.arange(at, end)[:, None]] = -4.0
+            width = min(s.build_width, end)
+            best = np.argpartition(-near, width - 1, axis=1)[:, :width]
+            for i in range(at, end):
+                ids = best[i - at]
+                ids = ids[ids < i]
+                for j in self._spread(x, ids, near[i - at, ids], s.degree):
+                    taken[i].append(j)
+                    taken[j].append(i)
+        out, kept = {}, []
+        for i, ids in enumerate(taken):
+            if len(ids) > most:
+                near = np.array(ids)
+                ids = self._spread(x, near, x[near] @ x[i], most)
+            kept.append(ids)
+        # Each link also leads back, so pruning leaves no node that others cannot reach.
+        both: list[list[int]] = [list(ids) for ids in kept]
+        for i, ids in enumerate(kept):
+            for j in ids:
+                both[j].append(i)
+        for i, ids in enumerate(both):
+            out[int(members[i])] = members[np.unique(np.array(ids, np.int64))]
+        return out
+
+    @staticmethod
+    def _spread(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> list[int]:
+        """Of some nodes the nearest ones that are not nearer to one already taken; then the nearest others."""
+        order = np.lexsort((ids, -sims))[: 4 * most]
+        ids, sims = ids[order], sims[order]
+        if len(ids) <= most:
+            return ids.tolist()
+        between = x[ids] @ x[ids].T
+        nearest = np.full(len(ids), -4.0)
+        taken: list[int] = []
+        for a, t in enumerate(sims.tolist()):
+            if t > nearest[a]:
+                taken.append(a)
+                if len(taken) == most:
+                    break
+                np.maximum(nearest, between[a], out=nearest)
+        have = set(taken)
+        taken += [a for a in range(len(ids)) if a not in have][: most - len(taken)]
+        return ids[taken].tolist()
+
+    def search(self, q: np.ndarray, entries: list[int], width: int, layer: int) -> list[tuple[float, int]]:
+        """The best ``width`` nodes found: (similarity, node)."""
         self.mark += 1
         seen, mark, links = self.seen, self.mark, self.links[layer]
         seen[entries] = mark
@@ -60,79 +113,47 @@ class SmallWorld:
         best = first[:]
         heapq.heapify(todo)
         heapq.heapify(best)
-        while len(best) > width and best[0][0] < reach:
+        while len(best) > width:
             heapq.heappop(best)
         while todo:
             s, i = heapq.heappop(todo)
-            if len(best) >= width and -s < best[0][0] and -s < reach:
+            if len(best) >= width and -s < best[0][0]:
                 break
             near = links[i]
             near = near[seen[near] != mark]
             if not len(near):
                 continue
             seen[near] = mark
-            least = min(best[0][0], reach) if len(best) >= width else -2.0
+            least = best[0][0] if len(best) >= width else -2.0
             for t, j in zip((self.x[near] @ q).tolist(), near.tolist(), strict=True):
                 if t > least:
                     heapq.heappush(todo, (-t, j))
                     heapq.heappush(best, (t, j))
-                    if len(best) > width and best[0][0] < reach:
+                    if len(best) > width:
                         heapq.heappop(best)
-                    least = min(best[0][0], reach) if len(best) >= width else -2.0
+                    least = best[0][0] if len(best) >= width else -2.0
         return best
 
-    def _spread(self, found: list[tuple[float, int]], most: int) -> np.ndarray:
-        """Of the nodes found the nearest ones that are not nearer to one already taken; then the nearest others."""
-        order = sorted(found, key=lambda t: (-t[0], t[1]))
-        ids = np.array([i for _, i in order])
-        if len(ids) <= most:
-            return ids
-        ids = ids[: 4 * most]
-        between = self.x[ids] @ self.x[ids].T
-        taken: list[int] = []
-        for a in range(len(ids)):
-            if not taken or order[a][0] > between[a, taken].max():
-                taken.append(a)
-                if len(taken) == most:
-                    break
-        have = set(taken)
-        taken += [a for a in range(len(ids)) if a not in have][: most - len(taken)]
-        return ids[taken]
-
-    def _insert(self, i: int) -> None:
-        level, s = int(self.level[i]), self.s
-        if self.entry < 0:
-            for layer in range(level + 1):
-                self.links[layer][i] = np.zeros(0, np.int64)
-            self.entry, self.top = i, level
-            return
-        q, at = self.x[i], [self.entry]
-        for layer in range(self.top, level, -1):
-            at = [max(self.search(q, at, 1, layer))[1]]
-        for layer in range(min(level, self.top), -1, -1):
-            found = self.search(q, at, s.build_width, layer)
-            most = s.degree * (2 if layer == 0 else 1)
-            links = self.links[layer]
-            links[i] = self._spread(found, s.degree)
-            for j in links[i].tolist():
-                back = np.append(links[j], i)
-                if len(back) > most:
-                    back = self._spread(list(zip((self.x[back] @ self.x[j]).tolist(), back.tolist(), strict=True)), most)
-                links[j] = back
-            at = [j for _, j in found]
-        for layer in range(self.top + 1, level + 1):
-            self.links[layer][i] = np.zeros(0, np.int64)
-        if level > self.top:
-            self.entry, self.top = i, level
-
     def near(self, q: np.ndarray, width: int, reach: float, own: int = -1) -> np.ndarray:
-        """What a beam of ``width`` finds, and all it meets with at least ``reach``; own: the query's node, if it is here."""
+        """What a beam of ``width`` finds, and all nodes of at least ``reach`` that links lead to from there; own: the query's node, if it is here."""
         at = [self.entry]
         for layer in range(self.top, 0, -1):
             at = [max(self.search(q, at, 1, layer))[1]]
         if own >= 0 and own not in at:
             at.append(own)
-        return np.array([j for _, j in self.search(q, at, width, 0, reach)])
+        found = self.search(q, at, width, 0)
+        out = np.array([j for _, j in found])
+        links, met = self.links[0], np.zeros(len(self.x), bool)
+        met[out] = True
+        wave = out[np.array([t for t, _ in found]) >= reach]
+        parts = [out]
+        while len(wave):
+            more = np.concatenate([links[i] for i in wave.tolist()])
+            more = np.unique(more[~met[more]])
+            met[more] = True
+            wave = more[self.x[more] @ q >= reach] if len(more) else more
+            parts.append(wave)
+        return np.concatenate(parts)
 
 
 def unit(vectors: list) -> np.ndarray:
@@ -141,77 +162,137 @@ def unit(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    root: dict[int, int] = {}
+class _Joined:
+    """Sets of nodes that are joined as links are found."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def top(self, at: np.ndarray) -> np.ndarray:
+        r = self.root[at]
+        while ((up := self.root[r]) != r).any():
+            r = up
+        self.root[at] = r
+        return r
+
+    def sets(self, at: np.ndarray) -> list[tuple[int, int]]:
+        """Of some nodes the first of each set, with the set."""
+        sets, first = np.unique(self.top(at), return_index=True)
+        return list(zip(at[first].tolist(), sets.tolist(), strict=True))
+
+    def join(self, at: np.ndarray) -> None:
+        r = self.top(at)
+        self.root[r] = r.min()
+
 
-    def top(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = v = root[root[v]]
-        return v
+def write_shard(folder: str, name: str, rows: pd.DataFrame, s: Graph) -> None:
+    """Two files: the graph with its nodes' ids and copies; and the ids and vectors alone, for reading blocks of them.
 
-    kept = []
-    for a, b in links:
-        x, y = top(a), top(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+    They are written under other names and renamed, so a file that exists is whole;
+    the same rows give the same files, whichever task writes them.
+    """
+    rows = rows.sort_values("node")
+    x, ids = unit(rows["vec"].tolist()), rows["node"].to_numpy(np.int64)
+    files, base = filesystem(folder)
+    files.create_dir(base, recursive=True)
+    for kind, data in (("graph", pickle.dumps((SmallWorld(x, ids, s), ids, rows["copies"].to_numpy(np.int64)), protocol=5)), ("rows", ids.tobytes() + x.tobytes())):
+        temporary = f"{base}/_{uuid.uuid4().hex}"
+        with files.open_output_stream(temporary) as out:
+            out.write(data)
+        files.move(temporary, f"{base}/{name}.{kind}")
+
+
+def read_graph(folder: str, name: str) -> tuple[SmallWorld, np.ndarray, np.ndarray]:
+    files, base = filesystem(folder)
+    with files.open_input_stream(f"{base}/{name}.graph", compression=None) as f:
+        return pickle.loads(f.read())
+
+
+def read_block(folder: str, name: str, n: int, dim: int, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of nodes a to z of a shard of n."""
+    files, base = filesystem(folder)
+    with files.open_input_file(f"{base}/{name}.rows") as f:
+        ids = np.frombuffer(f.read_at(8 * (z - a), 8 * a), np.int64)
+        return ids, np.frombuffer(f.read_at(8 * dim * (z - a), 8 * n + 8 * dim * a), np.float64).reshape(-1, dim)
+
+
+def answer(graph: SmallWorld, ids: np.ndarray, copies: np.ndarray, own: np.ndarray, x: np.ndarray, least: float, s: Graph) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A cell: for each query its number of links with other nodes of the shard; and a spanning forest of the links."""
+    place = np.searchsorted(ids, own).clip(max=len(ids) - 1)
+    here = np.where(ids[place] == own, place, -1).tolist()
+    truth: dict[int, np.ndarray] = {}
+    tested, order = 0, np.argsort(mix(own.astype(np.uint64)), kind="stable")
+    for i in range(0, len(order), s.audited):
+        part = order[i : i + s.audited]
+        for k, hit in zip(part.tolist(), (x[part] @ graph.x.T) >= least, strict=True):
+            truth[k] = np.flatnonzero(hit)
+            tested += len(truth[k]) - (here[k] >= 0)
+        if tested >= s.tested:
+            break
+    width, slack, scan = s.width, s.slack, len(truth) == len(own)
+    while not scan and any(len(np.setdiff1d(t, graph.near(x[k], width, least - slack, here[k]))) for k, t in truth.items() if len(t) > (here[k] >= 0)):
+        scan = width >= len(ids)
+        width, slack = 2 * width, 2 * slack
+    counts, forest, joined = np.zeros(len(own), np.int64), [], _Joined(len(ids) + len(own))
+    for k, node in enumerate(own.tolist()):
+        if k in truth or scan:
+            at = truth[k] if k in truth else np.flatnonzero(graph.x @ x[k] >= least)
+        else:
+            at = graph.near(x[k], width, least - slack, here[k])
+            at = at[graph.x[at] @ x[k] >= least]
+        at = at[ids[at] != node]
+        if len(at):
+            counts[k] = copies[at].sum()
+            me = here[k] if here[k] >= 0 else len(ids) + k
+            # One link to each set that it joins; its own set needs none.
+            mine = joined.top(np.array([me]))[0]
+            forest += [(node, int(ids[j])) for j, r in joined.sets(at) if r != mine]
+            joined.join(np.append(at, me))
+    return counts, forest
 
 
 def links(nodes: DataFrame, least: float, s: Graph) -> DataFrame:
     """``nodes(node, label, copies, vec)`` -> (a, b, n): b null: n links of node a in one shard; else a link."""
-    sizes = settle(nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / s.shard).cast("int").alias("shards"), F.ceil(F.count("*") / s.block).cast("int").alias("blocks")), "sizes")
+    spark = nodes.sparkSession
+    most = F.greatest(F.lit(1), F.least(F.lit(s.shard), F.floor(F.lit(s.shard_bytes) / (8 * F.col("dim")))))
+    sizes = settle(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / most).cast("int").alias("shards")), "sizes")
     dealt = nodes.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, ["label", "dim"])
-    key = F.xxhash64("node")
-    dealt = dealt.select("*", F.pmod(key, "shards").cast("int").alias("shard"), F.pmod(F.shiftright(key, 20), "blocks").cast("int").alias("block"))
+    dealt = dealt.select("*", F.pmod(F.xxhash64("node"), "shards").cast("int").alias("shard"))
+    folder = fresh_path(spark, "graphs")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         single_threaded()
-        rows = rows.sort_values("node")
-        graph = SmallWorld(unit(rows["vec"].tolist()), rows["node"].to_numpy(), s)
-        blob = pickle.dumps((graph, rows["node"].to_numpy(), rows["copies"].to_numpy()), protocol=5)
         first = rows.iloc[0]
-        return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "shard": [first["shard"]], "blocks": [first["blocks"]], "graph": [blob]})
+        # The least node of a shard is in no other one.
+        name = f"shard-{rows['node'].min()}"
+        write_shard(folder, name, rows, s)
+        return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "name": [name], "size": [len(rows)]})
 
-    graphs = dealt.groupBy("label", "dim", "shard").applyInPandas(build, "label string, dim int, shard int, blocks int, graph binary")
-    graphs = settle(graphs, "graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    queries = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("label", "dim", "shard", "block", "node", "vec")
+    graphs = settle(dealt.groupBy("label", "dim", "shard").applyInPandas(build, "label string, dim int, name string, size int"), "graphs", narrow=True)
+    blocks = graphs.select("label", "dim", F.col("name").alias("of"), F.col("size").alias("of_size"), F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(s.block))).alias("start"))
+    # Both sides have a row per shard or block, 16384 or 2048 nodes each; a label's shards meet all its blocks.
+    cells = settle(graphs.select("label", "dim", "name").join(blocks, ["label", "dim"]).select("name", "dim", "of", "of_size", "start"), "cells", narrow=True)
+    number = cells.count()
+    if not number:
+        return spark.createDataFrame([], "a long, b long, n long")
+    tasks = max(1, min(number, max(int(spark.conf.get("spark.sql.shuffle.partitions")), number // s.cells)))
 
-    def ask(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         single_threaded()
-        if q.empty or g.empty:
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        graph, ids, copies = pickle.loads(g["graph"].iloc[0])
-        q = q.sort_values("node")
-        x, own = unit(q["vec"].tolist()), q["node"].to_numpy()
-        place = np.searchsorted(ids, own).clip(max=len(ids) - 1)
-        here = np.where(ids[place] == own, place, -1).tolist()
-        truth, tested, order = {}, 0, np.argsort(mix(own.astype(np.uint64)), kind="stable")
-        for i in range(0, len(order), s.audited):
-            for k in order[i : i + s.audited].tolist():
-                truth[k] = np.flatnonzero(graph.x @ x[k] >= least)
-                tested += len(truth[k]) - (here[k] >= 0)
-            if tested >= s.tested:
-                break
-        width, slack, scan = s.width, s.slack, len(truth) == len(own)
-        while not scan and any(len(np.setdiff1d(t, graph.near(x[k], width, least - slack, here[k]))) for k, t in truth.items() if len(t) > (here[k] >= 0)):
-            scan = width >= len(ids)
-            width, slack = 2 * width, 2 * slack
-        counts, found = [], []
-        for k, node in enumerate(own.tolist()):
-            if k in truth or scan:
-                at = truth[k] if k in truth else np.flatnonzero(graph.x @ x[k] >= least)
-            else:
-                at = graph.near(x[k], width, least - slack, here[k])
-                at = at[graph.x[at] @ x[k] >= least]
-            at = at[ids[at] != node]
-            counts.append((node, None, int(copies[at].sum())))
-            found += [(node, j) for j in ids[at].tolist()]
-        rows = counts + [(a, b, 0) for a, b in _forest(found)]
-        return pd.DataFrame({"a": [r[0] for r in rows], "b": pd.array([r[1] for r in rows], dtype="Int64"), "n": [r[2] for r in rows]})
-
-    keys = ["label", "dim", "shard", "block"]
-    return queries.groupBy(*keys).cogroup(graphs.select(*keys, "graph").groupBy(*keys)).applyInPandas(ask, "a long, b long, n long")
+        opened, graph = None, None
+        for batch in batches:
+            for name, dim, of, of_size, start in zip(*(batch[c].tolist() for c in ("name", "dim", "of", "of_size", "start")), strict=True):
+                if name != opened:
+                    graph, opened = None, None
+                    graph, opened = read_graph(folder, name), name
+                own, x = read_block(folder, of, of_size, dim, start, min(of_size, start + s.block))
+                counts, forest = answer(*graph, own, x, least, s)
+                has = np.flatnonzero(counts)
+                a = np.concatenate([own[has], np.array([p[0] for p in forest], np.int64)])
+                b = [None] * len(has) + [p[1] for p in forest]
+                yield pd.DataFrame({"a": a, "b": pd.array(b, dtype="Int64"), "n": np.concatenate([counts[has], np.zeros(len(forest), np.int64)])})
+
+    return cells.repartitionByRange(tasks, "name", "of", "start").sortWithinPartitions("name", "of", "start").mapInPandas(ask, "a long, b long, n long")
 
 
 def near_vectors(embeddings: DataFrame, least: float = 0.93, settings: Graph = Graph()) -> DataFrame:  # noqa: B008
@@ -222,7 +303,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, settings: Graph = G
     non-finite component links with nothing, and so does a row without vec_id, whose
     component_id is null and which is kept. Equal vectors of a label are links like
     others. Rows that repeat a vec_id are one vector, for which the least of its
-    (label, vector) stands; each of them gets its result. Other columns are ignored.
+    (label, vector) stands; each of them gets its result. An empty table gives no
+    rows. Other columns are ignored, whatever their names.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
     named = rows.where("vec_id is not null")

@@ -55,9 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def local_path(uri: str) -> str:
-    """Path of a ``file:`` URI, or the URI itself."""
-    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
+def filesystem(uri: str):
+    """The pyarrow file system of a URI, and the path in it, for tasks that write or read files of their own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
 
 
 def crc_of_id(col: Column) -> Column:

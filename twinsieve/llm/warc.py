@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.shared import fresh_path, settle
+from twinsieve.llm.shared import filesystem, fresh_path, settle
 
 #: Payload bytes a shard should hold, and compressed bytes after which a file is closed.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 64 << 20
@@ -33,12 +33,6 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("5b0f5d1e-6f0c-4a53-9d5e-0b3f0a1c7e11")
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
@@ -118,7 +112,7 @@ def write(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes
     dealt = dealt.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = _filesystem(out)
+        files, base = filesystem(out)
         files.create_dir(f"{base}/_temporary", recursive=True)
         done, now, stream, temporary, last, counts = [], None, None, None, None, [0, 0]
 
@@ -186,7 +180,7 @@ def read(manifest: DataFrame, out: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = _filesystem(out)
+        files, base = filesystem(out)
         for batch in batches:
             for name, count in zip(batch["file"], batch["records"], strict=True):
                 rows, size, seen = [], 0, 0
