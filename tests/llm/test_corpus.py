@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsieve.llm import components, decontaminate, embed_hnsw, html_gbt, langid, minhash, packing, queries, secrets_crf, slots, toxicity, warc
+from twinsieve.llm import components, decontaminate, dom, embed_hnsw, html_gbt, langid, minhash, packing, queries, secrets_crf, slots, toxicity, warc
 from twinsieve.llm.settings import Graph
 from twinsieve.llm.shingles import Sketcher, WordHashes, shingle_set, words_of
 
@@ -260,6 +261,59 @@ def test_main_text(spark):
     assert np.mean(right) > 0.9
 
 
+def main_text(page):
+    return html_gbt.main_texts([page], html_gbt.train())[0]
+
+
+def test_hostile_pages_take_linear_time():
+    for unit in ("<a ", '<a x=">" ', "<!", "<svg>", "<div>", "</section>", '<a ">"', "<a x='", "<li><b>", "<foo></bar>", "&amp", "<!--"):
+        page = "<p>one two</p>" + unit * (1_000_000 // len(unit))
+        if unit in ("<div>", "<li><b>", "<foo></bar>"):
+            page = page[:200_000]
+        start = time.time()
+        dom.parse(page)
+        assert time.time() - start < 2.0, unit
+    many = "<article>" + "<p>A sentence of some words, and of some more.</p>" * 20_000 + "</article>"
+    assert len(main_text(many).split("\n\n")) == 20_000
+
+
+def test_formulas_are_text():
+    p = dom.parse('<p>a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="tex">x=2</annotation></semantics></math> b</p>')
+    assert [t for t in p.text if t] == ["a x=2 b"]
+    assert [t for t in dom.parse("<p>1 < 2 and <b title='a>b'>c</b> &lt;d&gt; <!-- <p>x -->e</p>").text if t] == ["1 < 2 and c <d> e"]
+
+
+PAGES = [
+    """<!doctype html><html lang=en><head><title>T - Site</title><meta charset=utf-8></head><body class="home page-template">
+<div class="navbar"><ul class="nav"><li><a href="/">Home</a><li><a href="/a">About us</a><li><a href="/c">Contact</a></ul></div>
+<main role="main"><article class="post-1482 hentry"><h1 class="entry-title">How bees find their way home</h1>
+<div class="entry-content"><p>Honey bees travel several kilometres from the hive, and they return without getting lost, even on cloudy days.</p>
+<p>Researchers followed <a href="/tag/bees">forty bees</a> with tiny transmitters. The paths, they found, bend along hedges and roads.</p>
+<blockquote><p>We did not expect the hedges to matter so much, said one of them.</p></blockquote></div></article></main>
+<aside class="sidebar"><h3>Popular</h3><ul><li><a href="/1">Ten plants for shade</a></li><li><a href="/2">Why moss grows</a></li></ul></aside>
+<div id="comments" class="comments-area"><h2>2 replies</h2><ol><li class="comment"><p>Great read, thanks for sharing this with us all.</p></li><li class="comment"><p>I have seen the same in my garden.</p></li></ol></div>
+<footer class="site-footer"><p>Copyright 2023 The Garden Paper. All rights reserved.</p></footer></body></html>""",
+    """<html><body><table width=100%><tr><td class=menu><a href=1>News</a><br><a href=2>Sport</a><br><a href=3>Weather</a></td>
+<td class=content><h2>Bridge reopens after repairs</h2><p>The old bridge over the river opened again on Monday, two weeks earlier than planned.</p>
+<p>The council says that the work cost less than expected, because most of the stone could be used again.</p></td></tr></table>
+<div class="cookie-notice">We use cookies to improve this site. <button>Accept</button></div></body></html>""",
+]
+ARTICLES = [
+    ["How bees find their way home", "Honey bees travel several", "Researchers followed forty bees with tiny", "We did not expect"],
+    ["Bridge reopens after repairs", "The old bridge over", "The council says that"],
+]
+
+
+def test_pages_from_elsewhere():
+    """Pages in the manner of real ones, none made by the trainer's generator: the blocks of the article, and no others."""
+    right = wrong = 0
+    for page, starts in zip(PAGES, ARTICLES, strict=True):
+        blocks = main_text(page).split("\n\n")
+        right += sum(any(b.startswith(s) for b in blocks) for s in starts)
+        wrong += sum(not any(b.startswith(s) for s in starts) for b in blocks)
+    assert right >= 6 and wrong <= 1
+
+
 def test_language(spark, docs, odd):
     r = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (r.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in r.doc_id]).all()

@@ -1,20 +1,30 @@
-"""A forgiving parser from html to a flat tree of block nodes and text leaves."""
+"""A forgiving parser from html to a flat tree of block nodes and text leaves.
+
+It reads a page once: whatever is missing (a ``>``, a quote, an end tag) is looked for
+to the end of the page once and not again, so its time grows with the page's length.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 # Elements of the HTML standard by how they nest.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input".split())
+SKIPPED = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video head title textarea select option datalist".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img input "
+    # Formulas.
+    "math mi mo mn ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "thead": ("tr", "td", "th", "thead", "tbody"), "tbody": ("tr", "td", "th", "thead", "tbody"),
 }
 SCOPES = frozenset("ul ol dl table body html div section article main aside nav header footer form blockquote td th".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+NAME_OR_MARK = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag. A quote counts as one only after a ``=``.
+REST = re.compile(r"""(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+>""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 END = {}
@@ -68,8 +78,14 @@ def parse(page: str) -> Tree:
             run.clear()
         linked = 0
 
+    last = page.rfind(">")
+    quoted, endless, opened = True, set(), Counter()
+    def leave(k: int) -> None:
+        opened.subtract(tree.tag[i] for i in stack[k:])
+        del stack[k:]
+
     while at < n:
-        m = TAG.search(page, at)
+        m = NAME_OR_MARK.search(page, at) if at < last else None
         cut = m.start() if m else n
         if cut > at:
             piece = page[at:cut]
@@ -78,20 +94,26 @@ def parse(page: str) -> Tree:
                 linked += len(piece.strip())
         if m is None:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if m[2] is None:
+            end = page.find("-->", cut + 4) if m[0] == "<!--" else page.find(">", cut)
+            at = n if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
-        closing = m[1] or m[4]
+        tag, closing = m[2].lower(), m[1]
+        rest = REST.match(page, m.end()) if quoted else None
+        # A tag that quotes keep open to the end of the page ends at its first ">", and so do those after it.
+        quoted = rest is not None
+        end = rest.end() if rest else page.find(">", m.end()) + 1
+        if not end:
+            run.append(page[cut:])
+            break
+        raw, at = page[m.end() : end - 1], end
         if tag in SKIPPED:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                if tag not in ("textarea", "select", "option", "label"):
-                    e = end_of(tag).search(page, at)
-                    # Without an end tag only the elements whose content is no text reach to the end of the page.
-                    at = e.end() if e else n if tag in ("script", "style") else at
-                else:
-                    e = end_of(tag).search(page, at)
-                    at = e.end() if e else at
+            if not closing and not raw.endswith("/"):
+                e = None if tag in endless else end_of(tag).search(page, at)
+                if e is None:
+                    endless.add(tag)
+                # Without an end tag only the elements whose content is no text reach to the end of the page.
+                at = e.end() if e else n if tag in ("script", "style") else at
             continue
         if tag in INLINE:
             if tag == "a":
@@ -104,22 +126,23 @@ def parse(page: str) -> Tree:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if tree.tag[stack[k]] == tag:
-                    del stack[k:]
+                    leave(k)
                     break
                 if tag == "p" or (tree.tag[stack[k]] in SCOPES and tag not in SCOPES):
                     break
             continue
         if tree.tag[stack[-1]] == "p":
-            stack.pop()
-        if tag in CLOSES:
+            leave(len(stack) - 1)
+        if any(opened[t] for t in CLOSES.get(tag, ())):
             for k in range(len(stack) - 1, 0, -1):
                 t = tree.tag[stack[k]]
                 if t in CLOSES[tag]:
-                    del stack[k:]
+                    leave(k)
                 elif t in SCOPES:
                     break
-        stack.append(tree.add(tag, stack[-1], _attributes(m[3] or m[6] or "")))
+        opened[tag] += 1
+        stack.append(tree.add(tag, stack[-1], _attributes(raw)))
     flush()
     return tree
