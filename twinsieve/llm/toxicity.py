@@ -27,9 +27,9 @@ from twinsieve.llm.shared import crc_of_id, single_threaded
 
 #: Bounds of the samples of each label: examples, and rows that votes are calibrated on.
 EXAMPLES, CALIBRATION = 2000, 500
-NEIGHBOURS, BLOCK = 15, 64
-#: Blocks that a query visits at first before it looks at the bounds again; each time twice as many.
-OPENING = 4
+NEIGHBOURS, BLOCK = 15, 128
+#: Blocks that a query visits at first before it looks at the bounds again, and how many times as many it visits the next time.
+OPENING, GROWTH = 2, 16
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (5,)
 #: Mass of the prior in a vote, in units of squared similarity.
@@ -38,6 +38,10 @@ PRIOR = 0.05
 ORDINARY, GAIN = 0.1, 15.0
 
 
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
 def word_terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
@@ -49,13 +53,33 @@ def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0), n
 
 
+class _Known(dict):
+    """Words that were seen, by number, and the ids of the terms of each."""
+
+    def __init__(self, term: dict[str, int]):
+        self.term, self.ids = term, np.full((4096, 1 + len(PREFIXES)), -1, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        if i == len(self.ids):
+            self.ids = np.concatenate([self.ids, np.full_like(self.ids, -1)])
+        for j, t in enumerate(word_terms(word)):
+            self.ids[i, j] = self.term.get(t, -1)
+        return i
+
+    def terms(self, words: list[str]) -> np.ndarray:
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out = self.ids[numbers].ravel()
+        return out[out >= 0]
+
+
 class Examples:
     def __init__(self, texts: list[str], toxic: list[int], share: tuple[float, float], others: list[tuple[str, int]] = ()):  # type: ignore[assignment]
         """share: what part of all rows with label 0, and 1, the examples are. others: (text, label) to calibrate on."""
-        bags = [Counter(WORD.findall(t.lower())) for t in texts]
+        bags = [words_of(t) for t in texts]
         pos, neg = Counter(), Counter()
         for bag, label in zip(bags, toxic, strict=True):
-            (pos if label else neg).update({t for w in bag for t in word_terms(w)})
+            (pos if label else neg).update({t for w in set(bag) for t in word_terms(w)})
         n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
         terms = sorted(pos.keys() | neg.keys())
         self.term = {t: i for i, t in enumerate(terms)}
@@ -63,7 +87,7 @@ class Examples:
         total = n0 * weight[0] + n1 * weight[1]
         a, b = np.array([pos[t] for t in terms], float), np.array([neg[t] for t in terms], float)
         self.idf = np.log(1 + total / (1 + b * weight[0] + a * weight[1])) * self.relevance(a, b, n1, n0)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.term)
         vectors = [self.vector(bag) for bag in bags]
         # Examples with the same heaviest term are neighbours in the index, so that bounds of blocks differ.
         order = sorted(range(len(texts)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
@@ -73,7 +97,7 @@ class Examples:
         self._index(self.vectors)
         self.raw_at, self.score_at = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         y = np.array([label for _, label in others], int)
-        self._calibrate(np.array([self.vote(self.vector(Counter(WORD.findall(t.lower()))))[0] for t, _ in others]), y, weight[y])
+        self._calibrate(np.array([self.vote(self.vector(words_of(t)))[0] for t, _ in others]), y, weight[y])
 
     @staticmethod
     def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -86,24 +110,20 @@ class Examples:
         return ORDINARY + (1 - ORDINARY) * gain / (gain + GAIN**2)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "vectors": []}
+        return self.__dict__ | {"known": None, "vectors": []}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, known=_Known(state["term"]))
 
-    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Term ids and weights of unit length; both empty if no term is known."""
-        known = self.known
-        parts, many = [], []
-        for w, n in bag.items():
-            ids = known.get(w)
-            if ids is None:
-                if len(known) > 200_000:
-                    known.clear()
-                ids = known[w] = [self.term[t] for t in word_terms(w) if t in self.term]
-            parts += ids
-            many += [n] * len(ids)
-        if not parts:
+        if len(self.known) > 500_000:
+            self.known = _Known(self.term)
+        terms = self.known.terms(words)
+        if not len(terms):
             return np.zeros(0, int), np.zeros(0)
-        ids, at = np.unique(np.array(parts), return_inverse=True)
-        x = (1 + np.log(np.bincount(at, many))) * self.idf[ids]
+        ids, many = np.unique(terms, return_counts=True)
+        x = (1 + np.log(many)) * self.idf[ids]
         return ids, x / np.sqrt((x * x).sum())
 
     def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -113,13 +133,13 @@ class Examples:
         val = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         who = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
         order = np.argsort(ids, kind="stable")
-        ids, self.weight, self.who = ids[order], val[order], who[order].astype(np.int32)
+        ids, self.weight, self.who = ids[order], val[order], who[order]
         cell = ids * self.blocks + self.who // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.start = np.append(first, len(cell)).astype(np.int32)
-        self.block = (self.who[first] // BLOCK).astype(np.int32)
+        self.start = np.append(first, len(cell))
+        self.block = self.who[first] // BLOCK
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(ids[first], np.arange(len(self.term) + 1)).astype(np.int32)
+        self.cells = np.searchsorted(ids[first], np.arange(len(self.term) + 1))
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k nearest examples with a similarity over 0: (similarity, example), exact; ties by example."""
@@ -141,7 +161,7 @@ class Examples:
             if len(best) == k:
                 part = part[bound[part] >= best[-1][0] - 1e-12]
             best = sorted(best + self._within(cells, q, part, k), key=lambda x: (-x[0], x[1]))[:k]
-            at, step = at + step, 2 * step
+            at, step = at + step, GROWTH * step
         return best
 
     def _within(self, cells: np.ndarray, q: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -186,7 +206,7 @@ class Examples:
         self.score_at = np.array([v for p in pools for v in [p[0] / p[1]] * 2])
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        raw, near = self.vote(self.vector(Counter(WORD.findall((text or "").lower()))))
+        raw, near = self.vote(self.vector(words_of(text or "")))
         p = float(np.interp(raw, self.raw_at, self.score_at))
         return min(1.0, max(0.0, 0.98 * p + 0.02 * raw)), near
 
