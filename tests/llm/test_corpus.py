@@ -494,6 +494,20 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_parts_a_hot_id(spark, tmp_path):
+    """All rows without an id, or with one id, still make many shards; shards are in the order of ids."""
+    for name, page_id in (("null", None), ("one", 7)):
+        df = spark.createDataFrame([(page_id, "u", f"{i:04d}" * 500) for i in range(200)] + [(1000 + i, "u", f"x{i}" * 900) for i in range(60)], "page_id long, url string, html string")
+        out = f"file://{tmp_path}/{name}"
+        m = warc.write(df, out, shard_bytes=40_000)
+        assert m.count() >= 8 and m.agg(F.max("records")).first()[0] < 60
+        r = warc.read(m, out).collect()
+        assert Counter((x.page_id, x.record_type) for x in r) == Counter([(page_id, "response")] * 200 + [(1000 + i, "response") for i in range(60)])
+        files = sorted(x.file for x in m.collect())
+        last = [max(x.page_id or 0 for x in warc.read(m.where(F.col("file") == f), out).collect()) for f in files]
+        assert last == sorted(last)
+
+
 def test_warc_is_deterministic(spark, tmp_path):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     seen = []
