@@ -3,8 +3,14 @@
 Each partition tokenizes its documents and packs what is shorter than a sequence by
 best-fit decreasing on its own. Bins that are nearly full are done. The others go up
 a tree: each node takes the underfull bins of a few children as items of a further
-best-fit round, until one node is left. A node passes up a bounded number of bins,
-those with the most room; the rest are done as they are. A bin's pieces never part.
+best-fit round, until one node is left. A bin's pieces never part.
+
+Of its bins that are not full a node passes up as many as its level has nodes, those
+with the most room, and no more can be needed: after best-fit no two bins of a node fit
+into one, so at most one of them is half full or less. Two bins of different nodes fit
+into one only if one of them is such a bin, and a merge leaves one less of these, so all
+levels above together make fewer merges than this level has nodes. Each takes one bin
+of the node at most, and if some bin has room for another's pieces, a roomier one has.
 """
 
 from __future__ import annotations
@@ -15,16 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsieve.llm.shared import settle, single_threaded
 
 SEQUENCE, END_ID = 1024, 2
-#: A bin with at most this much room is done.
-SLACK = 4
-#: Children of a node, and bins that a node passes up.
-FAN, PASSED = 8, 512
+#: Children of a node.
+FAN = 8
 
 
 def default_tokenizer() -> str:
@@ -137,8 +141,8 @@ def _typed(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def _merge(rows: DataFrame) -> DataFrame:
-    """One level of the tree: rows(leaf, bin, base, fill, node) -> the same, with bins merged, and ``done``."""
+def _merge(rows: DataFrame, nodes: int) -> DataFrame:
+    """A level of ``nodes`` nodes: rows(leaf, bin, base, fill, node) -> the same, with bins merged, and ``done``."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         items = rows.groupby("bin", as_index=False)["fill"].first().sort_values(["fill", "bin"], ascending=[False, True])
@@ -147,7 +151,7 @@ def _merge(rows: DataFrame) -> DataFrame:
         for name, b in zip(items["bin"].tolist(), bins, strict=True):
             names.setdefault(b, name)
         to = {name: (names[b], off, fill[b]) for name, b, off in zip(items["bin"].tolist(), bins, offsets, strict=True)}
-        roomy = sorted((f, names[b]) for b, f in enumerate(fill) if f < SEQUENCE - SLACK)[:PASSED]
+        roomy = sorted((f, names[b]) for b, f in enumerate(fill) if f < SEQUENCE)[:nodes]
         up = {name for _, name in roomy}
         moved = [to[b] for b in rows["bin"].tolist()]
         return pd.DataFrame({
@@ -165,18 +169,26 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     A document is its token ids and one end id, so a null or empty text is the end
     id alone. One longer than a sequence is cut into whole sequences after a first
     piece of what is left over. One row per piece; repeated rows and rows without
-    doc_id are packed like others. No rows give no rows. Other columns are ignored.
+    doc_id are packed like others. Of bins with equal room the one that came to it last
+    is taken. No rows give no rows. Texts of any length are read whole. Other columns
+    are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = settle(_pieces(docs, tokenizer or default_tokenizer()), "pieces")
-    roomy = pieces.where((F.col("offset") == 0) & (F.col("fill") < SEQUENCE - SLACK))
+    roomy = pieces.where((F.col("offset") == 0) & (F.col("fill") < SEQUENCE))
     rows = settle(roomy.select(F.col("bin").alias("leaf"), "bin", F.lit(0).cast("long").alias("base"), "fill", F.shiftright("bin", 33).alias("node")), "level")
     done, nodes = [], rows.agg(F.max("node")).first()[0]
-    while nodes is not None and nodes > 0:
-        level = settle(_merge(rows), "level")
+    if nodes:
+        # The leaves are a level too; their bins are merged already.
+        order = Window.partitionBy("node").orderBy("fill", "bin")
+        ranked = settle(rows.withColumn("place", F.row_number().over(order)), "ranked")
+        done.append(ranked.where(F.col("place") > nodes + 1).drop("place"))
+        rows = ranked.where(F.col("place") <= nodes + 1).drop("place")
+    while nodes:
+        nodes = nodes // FAN
+        level = settle(_merge(rows, nodes + 1), "level")
         done.append(level.where("done").drop("done"))
         rows = level.where("not done").drop("done")
-        nodes = nodes // FAN
     for part in done:
         rows = rows.unionByName(part)
     moved = settle(rows.select(F.col("leaf"), F.col("bin").alias("into"), "base"), "moved")
