@@ -525,7 +525,7 @@ def test_sharding(spark, docs, odd):
     raw = [t.encode() for t in r.text]
     assert (r["size"] == [len(b) + 8 for b in raw]).all() and (r.text_crc32 == [zlib.crc32(b) for b in raw]).all()
     loads = {i: 1 + i % 7 for i in range(400)}
-    first = slots.first_map(loads, 24)
+    first = slots.rebalance(slots.first_map(400, 24), loads, 24)
     grown = slots.rebalance(first, loads, 25)
     total = Counter()
     for s, t in grown.items():
@@ -534,6 +534,23 @@ def test_sharding(spark, docs, odd):
     assert slots.shard_documents(odd.limit(0)).count() == 0
 
 
+def test_sharding_law_and_groups(spark):
+    """Brute force over the whole query: bytes are balanced, and equal texts are together unless they are too heavy."""
+    data = DATA.replace("0.001", "0.1")
+    r = queries.op9_sharding(spark, data).toPandas()
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").toPandas()
+    assert len(r) == len(docs) and set(r.law) == {"bytes"} and set(r.map_version) == {2} and r.grown_shard.isna().all()
+    loads = r.groupby("shard")["size"].sum()
+    assert len(loads) == 24 and loads.max() < 1.005 * loads.mean() and loads.min() > 0.98 * loads.mean()
+    most = min(r["size"].sum() // (8 * 24), slots.WHOLE)
+    m = r.merge(docs, on="doc_id")
+    groups = m.fillna("").groupby("text").agg(bytes=("size", "sum"), shards=("shard", "nunique"), n=("shard", "size"))
+    assert (groups[groups.bytes <= most].shards == 1).all() and (groups.n > 1).sum() > 100
+    one = spark.createDataFrame([(i, "same " * 40) for i in range(3000)] + [(5000 + i, f"t{i} " * 40) for i in range(3000)], "doc_id long, text string")
+    loads = slots.shard_documents(one).groupBy("shard").agg(F.sum("size").alias("b")).toPandas().b
+    assert len(loads) == 24 and loads.max() < 1.05 * loads.mean()
+
+
 def test_packing(spark, docs, odd):
     from tokenizers import Tokenizer
 
@@ -555,11 +572,33 @@ def test_packing(spark, docs, odd):
                 assert x.offset == at
                 at += x.length
             assert at <= 1024
-    assert r.sequence_id.nunique() >= 1 and packing.pack(odd.limit(0)).count() == 0
+        # One partition's best-fit leaves at most one bin that is half full or less.
+        assert r.groupby("sequence_id").length.sum().le(512).sum() <= 1
+    whole = packing.pack(docs).toPandas()
+    assert whole.sequence_id.nunique() <= 1.02 * -(-whole.length.sum() // 1024) + 1 and packing.pack(odd.limit(0)).count() == 0
     bins, offsets, fill = packing.best_fit([700, 600, 400, 324, 20], 1024)
     assert bins == [0, 1, 1, 0, 1] and sorted(fill) == [1020, 1024]
 
 
+def test_tree_packs_like_one_bin_packer(spark):
+    """Many partitions need no more sequences than best-fit of all pieces at once, and a few."""
+    rng = np.random.default_rng(3)
+    for low, high in ((300, 800), (1, 200), (500, 700)):
+        docs = spark.createDataFrame([(i, " a" * int(n)) for i, n in enumerate(rng.integers(low, high, 4000))], "doc_id long, text string").repartition(8)
+        r = packing.pack(docs).toPandas()
+        fill = r.groupby("sequence_id").length.sum()
+        _, _, once = packing.best_fit(sorted(r.length.tolist(), reverse=True), 1024)
+        assert fill.max() <= 1024 and (fill <= 512).sum() <= 1 and len(fill) <= 1.03 * len(once) + 2
+
+
+def test_fast_ids_are_those_of_tokenizers():
+    ids, rng = packing.Ids(packing.default_tokenizer()), np.random.default_rng(11)
+    alphabet = [*"abcXYZ 019.,'\n\t\"<|>&é ßñ東😀́\u200b\u00a0\r"]
+    for _ in range(2000):
+        t = "".join(rng.choice(alphabet, int(rng.integers(0, 60))))
+        assert ids.of(t).tolist() == ids._slow(t)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
