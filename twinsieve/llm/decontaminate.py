@@ -116,8 +116,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keyed: bool = False) ->
     one window. Document words inside any occurrence of a window are hit. One row
     per row of ``docs``, repeated rows and null ids included; a null or empty text
     has no words and no hits. Items without words have no window; an item without
-    item_id hits but is not listed. An empty benchmark contaminates nothing. Other
-    columns are ignored. ``keyed`` adds text_key, the xxhash64 of the text.
+    item_id hits but is not listed. An empty benchmark contaminates nothing, and empty
+    docs give no rows. Texts of up to 2^28 words are read whole. Other columns are
+    ignored, whatever their names. ``keyed`` adds text_key, the xxhash64 of the text.
     """
     wins = settle(benchmark_windows(benchmark).withColumn("set_id", F.md5(F.to_json("items"))), "fingerprints")
     sets = wins.select("set_id", "items").dropDuplicates(["set_id"])
@@ -131,7 +132,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keyed: bool = False) ->
     for m in sizes:
         d = fingerprints(d, m).withColumnRenamed("picked", f"picked_{m}")
         picks.append(F.transform(f"picked_{m}", _with_words_around(m)))
-    none = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).cast("long").alias("fp"), F.lit(0).alias("pos"), F.lit(0).alias("first"), F.array().cast("array<string>").alias("near")))
+    # Each document has one row without a window, of a key of its own, so that it is kept without hits.
+    none = F.array(F.struct(F.lit(0).alias("m"), F.xxhash64("doc_id", "text_key").alias("fp"), F.lit(0).alias("pos"), F.lit(0).alias("first"), F.array().cast("array<string>").alias("near")))
     rows = d.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(none, *picks)).alias("p")).select("doc_id", "text_key", "n_words", F.col("p.m").alias("pm"), F.col("p.fp").alias("pfp"), "p.pos", "p.first", "p.near")
     start = F.col("pos") - F.col("at")
     same = (F.col("pm") == F.col("m")) & (F.col("pfp") == F.col("fp")) & (start >= 0) & (F.slice("near", F.greatest(F.lit(1), start - F.col("first") + 1), F.col("m")) == F.col("window"))
