@@ -319,7 +319,9 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, settings: Graph = G
     joined = components(found.where("b is not null").select("a", "b"))
     per = nodes.select("node", "label", "vec", "copies").join(counts.withColumnRenamed("a", "node"), "node", "left").join(joined, "node", "left")
     per = per.select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = one.join(settle(per, "per"), ["label", "vec"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # Rows that can have no match have a key of their own each, so that they are not one group.
+    own = F.when(F.coalesce(fit, F.lit(False)), F.lit(0).cast("long")).otherwise(F.xxhash64("vec_id"))
+    out = one.withColumn("own", own).join(settle(per.withColumn("own", F.lit(0).cast("long")), "per"), ["label", "vec", "own"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     if repeated:
         out = named.select("vec_id").join(out, "vec_id")
     out = out.unionByName(rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")))
