@@ -99,6 +99,32 @@ def test_near_duplicates(spark, docs, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def bucketed(spark, monkeypatch, texts, shingle=4):
+    """near_duplicates with all documents in one bucket."""
+    monkeypatch.setattr(minhash, "BANDS", 1)
+    real = minhash._profiles
+    one = lambda docs, size: real(docs, size).withColumn("bands", F.when(F.col("n") > 0, F.array(F.lit(7).cast("long"))))
+    monkeypatch.setattr(minhash, "_profiles", one)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle).collect()}
+
+
+def test_hot_bucket_of_unlinked_members(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(2500)]
+    assert all(k == v for k, v in bucketed(spark, monkeypatch, texts).items())
+
+
+def test_hot_bucket_that_its_leader_is_no_part_of(spark, monkeypatch):
+    """All members but the first are linked with each other: one more star, not all pairs."""
+    base = [f"w{j}" for j in range(120)]
+    texts = ["nothing like the others at all"] + [" ".join([*base[: i % 110], f"v{i}", *base[i % 110 + 1 :]]) for i in range(2500)]
+    seen = []
+    cells = minhash._cells
+    monkeypatch.setattr(minhash, "_cells", lambda *a: seen.append(cells(*a)) or seen[-1])
+    got = bucketed(spark, monkeypatch, texts)
+    assert got == {0: 0, **{i: 1 for i in range(1, 2501)}} and seen[0].count() == 0
+
+
 def test_sketch_agrees_like_jaccard():
     s, rng = Sketcher(256, 1, 1), np.random.default_rng(0)
     for n in (1, 3, 40, 900):

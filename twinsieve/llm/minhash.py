@@ -6,6 +6,8 @@
    never meet as pairs, however many there are.
 3. Star links: in each band bucket all members are compared with the least member
    on their full shingle sets. Verified links give first labels of connected members.
+   Buckets with many members that no link has reached get another leader, the least of
+   these, a few times; so a large group that the first leader is no part of is one star too.
 4. What is left are members of one bucket with different labels. They meet in
    cells of a bounded number of members (rest x main, rest x rest) with finer
    sketches; a cell keeps a pair only in the first band that it shares and only if
@@ -39,6 +41,8 @@ BINS, BANDS, ROWS = 128, 32, 4
 FINE, COARSE = 1024, 256
 #: Most members of one side of a cell.
 CELL = 1024
+#: Further leaders of a bucket, and the members without a link that it must have for one; what is left meets in cells.
+LEADERS, UNREACHED = 3, 64
 
 
 def _profiles(docs: DataFrame, shingle: int) -> DataFrame:
@@ -155,6 +159,19 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, "a long, b long")
 
 
+def _labelled(members: DataFrame, star: DataFrame) -> DataFrame:
+    """Members with a label, ``component``, and whether it is another one than their bucket's leader has (``rest``).
+
+    A label is a member's least linked leader, or that one's in turn. Equal labels are connected.
+    """
+    hop = settle(star.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("up")), "hop", narrow=True)
+    again = hop.select(F.col("rep").alias("up"), F.col("up").alias("top"))
+    first = hop.join(again, "up", "left").select("rep", F.coalesce("top", "up").alias("component"))
+    c = settle(members.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled", narrow=True)
+    main = settle(c.where("rep = leader").select("bucket", F.col("component").alias("main")).distinct(), "main", narrow=True)
+    return c.join(main, "bucket").withColumn("rest", F.col("component") != F.col("main"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, component_id, kept)``, one row per row.
 
@@ -163,7 +180,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reach. Null, empty and blank texts have no shingles and are linked with nothing;
     a row without doc_id is linked with nothing, its component_id is null and it is
     kept. Rows that repeat a doc_id are one document, for which the least of its
-    texts stands; each of them gets its result. Other columns are ignored.
+    texts stands; each of them gets its result. An empty table gives no rows. Texts of
+    any length are read whole. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = rows
@@ -181,15 +199,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = settle(banded.join(shared, "bucket"), "members", narrow=True)
     texts = settle(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     star = settle(_verify(members.where("rep > leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), texts, shingle, percent), "star")
-    # Labels for now: a member's least linked leader, and that one's in turn. Equal labels are connected.
-    hop = star.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("up"))
-    hop = settle(hop, "hop", narrow=True)
-    again = hop.select(F.col("rep").alias("up"), F.col("up").alias("top"))
-    first = hop.join(again, "up", "left").select("rep", F.coalesce("top", "up").alias("component"))
-    c = members.join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    c = settle(c, "labelled", narrow=True)
-    main = settle(c.where("rep = leader").select("bucket", F.col("component").alias("main")).distinct(), "main", narrow=True)
-    c = c.join(main, "bucket").withColumn("rest", F.col("component") != F.col("main"))
+    c, tried = _labelled(members, star), members.where("rep = leader").select("bucket", "rep")
+    for _ in range(LEADERS):
+        alone = c.where("rest and component = rep").join(tried, ["bucket", "rep"], "left_anti")
+        alone = settle(alone.select("bucket", "rep"), "alone", narrow=True)
+        again = alone.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where(F.col("n") > UNREACHED).select("bucket", "leader")
+        again = settle(again, "leaders", narrow=True)
+        if again.isEmpty():
+            break
+        pairs = alone.join(again, "bucket").where("rep > leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+        star = settle(star.union(_verify(pairs, texts, shingle, percent)), "star")
+        tried = tried.union(again.select("bucket", F.col("leader").alias("rep")))
+        c = _labelled(members, star)
     sizes = c.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_main")).where("n_rest > 0")
     sizes = sizes.select("bucket", F.ceil(F.col("n_rest") / CELL).cast("int").alias("k_rest"), F.ceil(F.col("n_main") / CELL).cast("int").alias("k_main"))
     sizes = settle(sizes, "sizes", narrow=True)
@@ -202,7 +223,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     joined = settle(components(star.union(more)), "components")
     keyed = reps.select("rep", "k1", "k2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     keyed = settle(keyed, "keyed", narrow=True)
-    out = profiles.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles")).join(keyed, ["k1", "k2"], "left")
+    # Rows without words have no key to match; their first half is a hash of the id, so that they are not one group.
+    out = profiles.select("doc_id", F.coalesce("k1", F.xxhash64("doc_id")).alias("k1"), "k2", F.col("n").alias("n_shingles")).join(keyed, ["k1", "k2"], "left")
     cid = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", cid.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     if repeated:
