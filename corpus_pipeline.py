@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages; it belongs to the corpus operators in ``twinsieve.llm``.
 
 Each stage takes what its predecessor kept, as Parquet, and all but the last return
-the columns of ``documents``.
+the columns of ``documents``. A stage hands an operator the id and the text under the
+names that it knows, and the whole row as one column beside them, so further columns
+of any names, those of the operators' results included, come through unchanged. An
+empty table gives an empty one at each stage.
 """
 
 from __future__ import annotations
@@ -16,46 +19,73 @@ from twinsieve.llm.shared import settle, table
 SECRET = "[SECRET]"
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row, which no operator looks into."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
-    rated = toxicity.rate_toxicity(docs, table(spark, sf_dir, "labels"))
-    return rated.where("predicted = 0").select(*docs.columns)
+    """Documents predicted toxic go.
+
+    A null or empty text is scored like one without known words. Rows without doc_id and
+    repeated rows are scored like others; each goes or stays by its own text.
+    """
+    rated = toxicity.rate_toxicity(_carried(docs), table(spark, sf_dir, "labels"))
+    return rated.where("predicted = 0").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the one with the least doc_id stays.
+    """Of each group of near-duplicates (five words, 0.8) the document with the least doc_id stays.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id that stays, the one with
-    the least text (then the least of the other columns) does.
+    Texts that are null or have no words are linked with nothing and all stay. If a
+    doc_id is null or repeated, every row is a document of its own and is compared with
+    all others; of those with the same doc_id the least text comes first, and rows
+    without doc_id come last.
     """
-    gone = minhash.near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    left = docs.join(settle(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
-    twice = settle(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return left
-    again = left.join(twice, "doc_id", "left_semi")
-    rest = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    again = again.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*").select(*docs.columns)
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    named = docs.where("doc_id is not null")
+    if docs.where("doc_id is null").isEmpty() and named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = minhash.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80).where("not kept").select("doc_id")
+        return docs.join(settle(gone, "gone"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Ids in the order of the rows stand for the doc_ids.
+    ordered = _carried(docs).orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    rows = settle(ordered.select(F.monotonically_increasing_id().alias("_key"), "text", "_row"), "rows")
+    gone = minhash.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80).where("not kept")
+    return rows.join(settle(gone.select(F.col("doc_id").alias("_key")), "gone"), "_key", "left_anti").select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True)
-    bad = settle(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct(), "contaminated")
-    same = F.xxhash64(docs["text"]).eqNullSafe(bad["bad_key"]) & docs["doc_id"].eqNullSafe(bad["bad_id"])
-    return docs.join(bad, same, "left_anti").select(*docs.columns)
+    """Documents in which a window of a benchmark item occurs go.
+
+    Null and empty texts have no windows and stay. Rows without doc_id and repeated
+    rows go or stay by their own texts. Without benchmark items all stay.
+    """
+    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keyed=True)
+    bad = settle(found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "contaminated")
+    same = (F.xxhash64("text") == F.col("_bad_key")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
+    return _carried(docs).join(bad, same, "left_anti").select("_row.*")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; in their texts ``SECRET`` stands for each secret."""
-    found = secrets_crf.find_secrets(docs, mark=SECRET)
-    new = {"text": F.col("redacted"), "n_chars": F.when(F.col("redacted").isNull(), F.col("n_chars")).otherwise(F.length("redacted")).cast("long")}
-    return found.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+    """All documents stay; in their texts ``SECRET`` stands for each secret, and n_chars is the new length.
+
+    Null and empty texts stay as they are, and so does all of a row whose text has no
+    secret. Overlapping secrets are one.
+    """
+    found = secrets_crf.find_secrets(_carried(docs), mark=SECRET)
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
+    changed = F.col("spans") != ""
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted")}
+    old = {c: F.col("_row").getField(c) for c in docs.columns}
+    return found.select(*(F.when(changed, new[c].cast(kinds[c])).otherwise(old[c]).alias(c) if c in new else old[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """The token sequences: one row per piece of a document.
+
+    A null or empty text is the end id alone; rows without doc_id and repeated rows are
+    packed like others; further columns are ignored.
+    """
+    return packing.pack(docs.select("doc_id", "text"))
 
 
 STAGES = [

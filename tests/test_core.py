@@ -148,3 +148,26 @@ def test_variants():
         assert len(v) == 25 and all(i.shape == x.shape for i in v)
     assert pixels.random_transform(x, np.random.default_rng(1), 16).shape == x.shape
     assert pixels.preprocess(x, np.random.default_rng(1), 16).shape == x.shape
+
+
+def test_storage(spark):
+    from twinsieve.storage import clean, settle, shared_dir
+
+    df = settle(spark.range(3), "three")
+    assert df.count() == 3 and shared_dir(spark).startswith("file:/")
+    again = settle(spark.range(2), "two")
+    assert again.count() == 2
+
+    class Conf:
+        def get(self, name):
+            return None
+
+    class Context:
+        applicationId, master, getConf = "x", "spark://host:7077", lambda self: Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    assert callable(clean)

@@ -13,19 +13,33 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, an own one of this machine."""
+    """The folder of this application in the one that driver and executors share.
+
+    A cluster names it in ``spark.checkpoint.dir``; without that name there is none, and
+    this raises. Only where all tasks run in this process (tests, a laptop) an own
+    temporary folder does.
+    """
+    app = spark.sparkContext.applicationId
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/twinsieve-{app}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="twinsieve-")
         atexit.register(shutil.rmtree, _OWN[app], True)
     return "file://" + _OWN[app]
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this application settled; DataFrames that read them are of no use then."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/twinsieve/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
