@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsieve.functions import murmur, pixels, vectors
-from twinsieve.operators import curate, distances, evaluate, grouping, quality, threshold
+from twinsieve.operators import curate, distances, evaluate, grouping, hashing, quality, threshold
 from twinsieve.operators.features import GridExtractor, extract
 from twinsieve.operators.hashing import BandedProjection, SignProjection, SimilarityHash
 from twinsieve.plans.dedup import METHODS, dedup, report
@@ -59,6 +59,8 @@ def test_leaders_equal_a_scan(spark):
         b = distances.buckets(df)
         lead = grouping.leaders(b.select(F.col("first_id").alias("id")), distances.hamming_pairs(b, within, 10))
         assert {r.id: r.leader for r in grouping.groups_of_codes(df, lead).collect()} == want
+        by_rounds = grouping.leaders(b.select(F.col("first_id").alias("id")), distances.hamming_pairs(b, within, 10), rest=0)
+        assert sorted(map(tuple, by_rounds.collect())) == sorted(map(tuple, lead.collect()))
 
 
 def test_chain_leaders_and_components(spark):
@@ -68,6 +70,33 @@ def test_chain_leaders_and_components(spark):
     assert grouping.leaders(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+def test_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(distances, "BLOCK", 16)
+    rng = random.Random(9)
+    rows = [(i, rng.getrandbits(64) - (1 << 63), [rng.getrandbits(9), rng.getrandbits(9)], rng.randint(1, 4)) for i in range(70)]
+    df = spark.createDataFrame(rows, "first_id long, code long, codes array<long>, n long")
+    apart = [(x[0], y[0], (x[1] ^ y[1]).bit_count() if x[1] ^ y[1] >= 0 else ((x[1] ^ y[1]) % (1 << 64)).bit_count(), sum((a ^ b).bit_count() for a, b in zip(x[2], y[2], strict=True)), x[3] * y[3]) for x in rows for y in rows if x[0] < y[0]]
+    for place, hist in ((2, distances.histogram(df)), (3, distances.histogram_of_sums(df))):
+        want = {}
+        for p in apart:
+            want[p[place]] = want.get(p[place], 0) + p[4]
+        same = sum(r[3] * (r[3] - 1) // 2 for r in rows)
+        want[0] = want.get(0, 0) + same
+        assert {r.distance: r.cnt for r in hist.collect() if r.cnt} == {k: v for k, v in want.items() if v}
+    assert sorted(map(tuple, distances.near_sums(df, 5).collect())) == sorted((p[0], p[1], p[3]) for p in apart if p[3] <= 5)
+    assert sorted(map(tuple, distances.hamming_pairs(df, 26, 64).collect())) == sorted((p[0], p[1], p[2]) for p in apart if p[2] <= 26)
+
+
+def test_medians_by_rounds(spark):
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.standard_normal(301), np.zeros(301), rng.integers(0, 3, 301), rng.exponential(1, 301) ** 6], axis=1)
+    for rows in (x, x[:300], x[:1]):
+        values = spark.createDataFrame([(d, float(v)) for row in rows for d, v in enumerate(row)], "dim int, v double")
+        for few in (2, 4096):
+            got = {r["dim"]: r["median"] for r in hashing.medians(values, bins=8, few=few).collect()}
+            assert all(abs(got[d] - m) < 1e-12 for d, m in enumerate(np.median(rows, axis=0)))
+
+
 def test_valley(spark):
     h = lambda xs: spark.createDataFrame(list(enumerate(xs)), "distance int, cnt long")
     assert threshold.valley(h([900, 800, 500, 200, 60, 10, 0, 10, 60, 200, 500, 800, 900, 800, 400])).first().threshold == 6
@@ -82,6 +111,9 @@ def test_evaluation_contested(spark):
     assert {r["class"]: r.group_id for r in evaluate.owners(c).collect()} == {"a": "g1", "b": "g2", "c": None}
     assert {r["class"]: r.group_id for r in evaluate.accuracy_owners(c).collect()} == {"a": "g1", "b": "g2", "c": None}
     assert evaluate.accuracy(c).first().accuracy == 50.0
+    rng = random.Random(2)
+    many = spark.createDataFrame([(f"g{g:02d}", f"c{k:02d}", rng.randint(1, 3)) for g in range(30) for k in rng.sample(range(20), 4)], "group_id string, class string, n long")
+    assert sorted(map(tuple, evaluate.accuracy_owners(many, rest=0).collect()), key=repr) == sorted(map(tuple, evaluate.accuracy_owners(many).collect()), key=repr)
     assert evaluate.accuracy(c.limit(0)).first().accuracy == 0.0
 
 
@@ -110,6 +142,19 @@ def test_dedup_finds_copies(spark, method):
     assert rep.summary.first().total_items == 12 and rep.points.count() == 12
 
 
+@pytest.mark.parametrize("method", METHODS[:4])
+def test_dedup_finds_its_threshold(spark, method):
+    """Two near rows among many far ones, without a threshold: it comes from the histogram, all pairs or a sample's."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40, 16))
+    x[30] = x[4]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    for sample in (None, 20):
+        r = dedup(df, method, 16, bits=64, sample=sample)
+        lead = {q.id: q.leader for q in r.groups.collect()}
+        assert lead[30] == lead[4] and len(lead) == 40 and isinstance(r.threshold, int) and len(set(lead.values())) > 3
+
+
 def test_images(spark, tmp_path):
     red, dark = [[(200, 10, 10)] * 20] * 20, [[(0, 0, 0)] * 8] * 8
     for name, p in (("a_original.png", red), ("b_blur.PNG", dark)):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from twinsieve.storage import settle
+
 
 def confusion(members: DataFrame) -> DataFrame:
     """``members(group_id, class)`` -> (group_id, class, n)."""
@@ -33,24 +38,41 @@ def owners(counts: DataFrame) -> DataFrame:
     return counts.select("class").distinct().join(took, "class", "left")
 
 
-def accuracy_owners(counts: DataFrame) -> DataFrame:
+def accuracy_owners(counts: DataFrame, rest: int = 1 << 20) -> DataFrame:
     """(class, group_id): classes in name order take their first free candidate; one after the first counts
     only if the class has there as many as it has anywhere.
 
-    The sequence is one fold over the candidates of all classes: as many rows as classes have candidates.
+    A round settles each class that is the least of those that list the group it would
+    take, the least open one always. When at most ``rest`` candidates are left, one task
+    goes through them.
     """
     anywhere = counts.groupBy("class").agg(F.max("n").alias("anywhere"))
     c = candidates(counts).join(anywhere, "class").where((F.col("place") == 1) | (F.col("n") == F.col("anywhere")))
-    lists = c.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", "group_id"))).alias("of"))
-    rows = lists.agg(F.array_sort(F.collect_list(F.struct("class", F.transform("of", lambda x: x["group_id"]).alias("of")))).alias("all"))
-    none = F.array().cast("array<struct<class:string,group_id:string>>")
-
-    def step(acc, x):
-        free = F.filter(x["of"], lambda g: ~F.exists(acc, lambda a: a["group_id"].eqNullSafe(g)))
-        return F.concat(acc, F.array(F.struct(x["class"].cast("string").alias("class"), F.get(free, F.lit(0)).cast("string").alias("group_id"))))
-
-    took = rows.select(F.explode(F.aggregate("all", none, step)).alias("t")).select("t.class", "t.group_id")
-    return counts.select(F.col("class").cast("string").alias("class")).distinct().join(took, "class", "left")
+    kinds = {n: c.schema[n].dataType.simpleString() for n in ("class", "group_id")}
+    schema = f"class {kinds['class']}, group_id {kinds['group_id']}"
+    open_ = settle(c.select("class", "place", "group_id"), "candidates")
+    parts = []
+    while open_.count() > rest:
+        first = open_.groupBy("class").agg(F.min_by("group_id", "place").alias("group_id"))
+        least = open_.groupBy("group_id").agg(F.min("class").alias("class"))
+        took = settle(first.join(least, ["class", "group_id"]).select("class", "group_id"), "took")
+        parts.append(took)
+        open_ = settle(open_.join(took.select("class"), "class", "left_anti").join(took.select("group_id"), "group_id", "left_anti").select("class", "place", "group_id"), "candidates")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"class": [], "place": [], "group_id": []}, dtype=object)]).sort_values(["class", "place"])
+        own, taken = {}, set()
+        for name, group in zip(rows["class"], rows["group_id"], strict=True):
+            if name not in own and group not in taken:
+                own[name] = group
+                taken.add(group)
+        if own:
+            yield pd.DataFrame({"class": list(own), "group_id": list(own.values())})
+
+    took = open_.coalesce(1).mapInPandas(run, schema)
+    for part in parts:
+        took = took.unionByName(part)
+    return counts.select("class").distinct().join(took, "class", "left")
 
 
 def class_scores(counts: DataFrame, own: DataFrame) -> DataFrame:
@@ -72,6 +94,6 @@ def macro(scores: DataFrame) -> DataFrame:
 def accuracy(counts: DataFrame) -> DataFrame:
     """(accuracy): percent of items that are in the group their class owns; 0 without items."""
     own = accuracy_owners(counts)
-    r = counts.withColumn("class", F.col("class").cast("string")).join(own.withColumnRenamed("group_id", "own"), "class", "left")
+    r = counts.join(own.withColumnRenamed("group_id", "own"), "class", "left")
     hits = F.sum(F.when(F.col("group_id") == F.col("own"), F.col("n")).otherwise(0))
     return r.agg(F.coalesce(F.try_divide(hits * 100.0, F.sum("n")), F.lit(0.0)).alias("accuracy"))

@@ -14,8 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from twinsieve.functions.murmur import x64_128
+from twinsieve.storage import settle
 
 TINY = 1e-9
 
@@ -112,7 +114,8 @@ class LeastProjection:
 
     def fit(self, values: DataFrame) -> DataFrame:
         """(dim, mean, median, stddev): one row per dimension."""
-        return values.groupBy("dim").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.greatest(F.stddev_pop("v"), F.lit(1e-12)).alias("stddev"))
+        plain = values.groupBy("dim").agg(F.avg("v").alias("mean"), F.greatest(F.stddev_pop("v"), F.lit(1e-12)).alias("stddev"))
+        return plain.join(medians(values), "dim").select("dim", "mean", "median", "stddev")
 
     def signatures(self, values: DataFrame, stats: DataFrame, key: str, use_median: bool = False) -> DataFrame:
         """(key, bits): a 0 or 1 for each dimension."""
@@ -121,6 +124,35 @@ class LeastProjection:
         return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "bit"))), lambda x: x["bit"]).alias("bits"))
 
 
+def medians(values: DataFrame, bins: int = 1024, few: int = 4096) -> DataFrame:
+    """``values(dim, v)`` -> (dim, median), exact: the mean of the two middle values.
+
+    Rounds of counts in bins narrow the range that holds each of the two, until it is
+    one value or holds a few rows; no state holds a dimension's values.
+    """
+    ends = values.groupBy("dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    two = F.explode(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    open_ = settle(ends.select("dim", "lo", "hi", "n", two.alias("k")).distinct(), "ranks")  # two rows a dimension at most
+    done = []
+    while True:
+        done.append(open_.where("lo = hi").select("dim", F.col("lo").alias("v")))
+        last = open_.where("lo < hi").withColumn("last", F.col("n") <= few)
+        wide = last.where("not last")
+        inside = values.join(F.broadcast(last), "dim").where("v >= lo and v <= hi")
+        rank = F.row_number().over(Window.partitionBy("dim", "k").orderBy("v"))  # at most a few rows
+        done.append(inside.where("last").withColumn("r", rank - 1).where("r = k").select("dim", "v"))
+        if wide.isEmpty():
+            break
+        at = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))
+        counted = inside.where("not last").groupBy("dim", "k", at.alias("bin")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("dim", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a bin
+        open_ = settle(counted.withColumn("before", before).where("k >= before and k < before + n").select("dim", "lo", "hi", "n", (F.col("k") - F.col("before")).alias("k")), "ranks")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("dim").agg(F.avg("v").alias("median"))
+
+
 def packed(bits: Column) -> Column:
     """Bits as words of 64, first bit lowest."""
     words = F.sequence(F.lit(0), F.floor((F.size(bits) - 1) / 64).cast("int"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.functions.vectors import doubles, hamming_sum, normalize
+from twinsieve.functions.vectors import doubles, normalize
 from twinsieve.operators import curate, distances, grouping, knn, layout
 from twinsieve.operators.hashing import BandedProjection, LeastProjection, SignProjection, SimilarityHash, packed
 from twinsieve.operators.threshold import valley
@@ -24,12 +24,19 @@ class Result:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def dedup(vectors: DataFrame, method: str, dim: int, threshold: float | None = None, keep_singletons: bool = True, k: int = 10, planes: int = 32, bands: int = 4, bits: int = 128, seed: int = 0, zero: str = "guard") -> Result:
+def _found(codes: DataFrame, sample: int | None) -> int:
+    """The threshold of ``codes(id, codes)``, whose distance is the sum over the words of a code."""
+    few = codes if sample is None else distances.sample(codes, sample)
+    return valley(distances.histogram_of_sums(few.groupBy("codes").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))).first().threshold
+
+
+def dedup(vectors: DataFrame, method: str, dim: int, threshold: float | None = None, keep_singletons: bool = True, k: int = 10, planes: int = 32, bands: int = 4, bits: int = 128, seed: int = 0, zero: str = "guard", sample: int | None = None) -> Result:
     """``vectors(id, vec)`` -> groups (id, leader, group_id, size).
 
     ``threshold`` is a similarity for ``knn``, else a distance; without one it is
-    found from the histogram of distances. Without ``keep_singletons`` only groups of
-    two or more remain.
+    found from the histogram of the distances that the method groups by, over all pairs
+    or over those of ``sample`` vectors. Without ``keep_singletons`` only groups of two
+    or more remain.
     """
     if method not in METHODS:
         raise ValueError(f"method: one of {', '.join(METHODS)}")
@@ -40,17 +47,15 @@ def dedup(vectors: DataFrame, method: str, dim: int, threshold: float | None = N
         groups = grouping.components(v.select("id"), knn.edges(knn.nearest(v, k), threshold))
     elif method == "banded_lsh":
         codes = settle(v.select("id", BandedProjection(planes, dim, bands, seed).codes("vec").alias("codes")), "codes")
-        if threshold is None:
-            one = codes.select("id", F.xxhash64("codes").alias("code"))
-            threshold = valley(distances.histogram(distances.buckets(one))).first().threshold
+        threshold = _found(codes, sample) if threshold is None else threshold
         groups = grouping.leaders(codes, distances.banded_pairs(codes, int(threshold)))
     elif method == "min_projection":
         family = LeastProjection(planes, dim, seed)
         values = settle(family.values(v, "id", "vec"), "values")
         codes = settle(family.signatures(values, family.fit(values), "id").select("id", packed(F.col("bits")).alias("codes")), "codes")
         first = codes.groupBy("codes").agg(F.min("id").alias("first_id"))
-        x, y = first.select(F.col("first_id").alias("a"), F.col("codes").alias("ca")), first.select(F.col("first_id").alias("b"), F.col("codes").alias("cb"))
-        near = x.join(y, F.col("a") < F.col("b")).select("a", "b", hamming_sum(F.col("ca"), F.col("cb")).alias("d")).where(F.col("d") <= (1 if threshold is None else threshold))
+        threshold = _found(codes, sample) if threshold is None else threshold
+        near = distances.near_sums(first, int(threshold))
         lead = grouping.leaders(first.select(F.col("first_id").alias("id")), near)
         groups = codes.join(first, "codes").join(lead.withColumnRenamed("id", "first_id"), "first_id").select("id", "leader")
     else:
@@ -58,7 +63,8 @@ def dedup(vectors: DataFrame, method: str, dim: int, threshold: float | None = N
         codes = settle(v.select("id", code.alias("code")), "codes")
         b = distances.buckets(codes)
         if threshold is None:
-            threshold = valley(distances.histogram(b)).first().threshold
+            few = b if sample is None else distances.buckets(distances.sample(codes, sample))
+            threshold = valley(distances.histogram(few)).first().threshold
         width = planes if method == "sign_lsh" else min(64, bits)
         lead = grouping.leaders(b.select(F.col("first_id").alias("id")), distances.hamming_pairs(b, int(threshold), width))
         groups = grouping.groups_of_codes(codes, lead)
