@@ -8,7 +8,7 @@ from twinsieve.functions import murmur, pixels, vectors
 from twinsieve.operators import curate, distances, evaluate, grouping, hashing, quality, threshold
 from twinsieve.operators.features import GridExtractor, extract
 from twinsieve.operators.hashing import BandedProjection, SignProjection, SimilarityHash
-from twinsieve.plans.dedup import METHODS, dedup, report
+from twinsieve.plans.dedup import METHODS, dedup, lines, report
 from twinsieve.queries import png
 from twinsieve.sources import images as src
 from twinsieve.sources import sinks
@@ -172,6 +172,74 @@ def test_images(spark, tmp_path):
     assert sinks.archive([str(tmp_path / "c.png"), str(tmp_path / "none.png")], str(out)) == 1
 
 
+def test_bad_images_can_keep_their_row(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png([[(200, 10, 10)] * 20] * 20))
+    (tmp_path / "c.png").write_bytes(b"no image")
+    df = src.images(spark, str(tmp_path))
+    assert {r.filename: len(r.features) for r in extract(df, GridExtractor(4), size=32, keep_bad=True).collect()} == {"a.png": 64, "c.png": 64}
+    r = {x.filename: x for x in quality.sharpness_and_saturation(df).collect()}
+    assert (r["c.png"].sharpness, r["c.png"].saturation) == (0, 0) and r["a.png"].sharpness == 0 and abs(r["a.png"].saturation - 190 * 255 / 200) < 1e-9
+    assert quality.rounded(spark.createDataFrame([(1.005, 2.675, "x")], "a double, b double, c string")).first().c == "x"
+
+
+def test_an_extractor_loads_its_weights_in_each_worker(spark, tmp_path):
+    """A network of one layer, stored and read by ``load``: the features are those of its weights."""
+    weights = np.random.default_rng(6).standard_normal((16 * 16 * 3, 5))
+    np.save(tmp_path / "w.npy", weights)
+
+    class Layer(GridExtractor):
+        dim = 5
+
+        def __init__(self, path):
+            self.path = path
+
+        def load(self):
+            self.weights = np.load(self.path)
+
+        def embed(self, batch):
+            return np.maximum(0, batch.reshape(len(batch), -1) @ self.weights)
+
+    (tmp_path / "a.png").write_bytes(png([[(200, 10, 10)] * 16] * 16))
+    one = lambda x, rng: [x]
+    got = extract(src.images(spark, str(tmp_path)), Layer(str(tmp_path / "w.npy")), variants=one, size=16, unit=False).first().features
+    x = pixels.channel_normalize(pixels.resize(pixels.grayscale(np.full((16, 16, 3), (200, 10, 10)) / 255.0), 16, 16))
+    assert np.allclose(got, np.maximum(0, x.reshape(-1) @ weights))
+
+
+def test_sessions_and_copies(spark, tmp_path):
+    up = spark.createDataFrame([("../a/b.png", b"1"), (" ", b"2"), ("c.png", b"3")], "name string, content binary")
+    kept = src.store(up, str(tmp_path / "s"))
+    assert {r.filename: bytes(r.content) for r in kept.collect()} == {"_a_b.png": b"1", "c.png": b"3"} and len(kept.first().session_id) == 8
+    with pytest.raises(curate.UnknownSession):
+        src.session_files(spark, str(tmp_path / "s"), "none")
+    with pytest.raises(ValueError):
+        src.store(up.limit(0), str(tmp_path / "s"))
+    (tmp_path / "in").mkdir()
+    for name in ("x.png", "y.png"):
+        (tmp_path / "in" / name).write_bytes(name.encode())
+    groups = spark.createDataFrame([("group_000", "x.png"), ("group_000", "y.png"), ("group_001", "gone.png")], "group_id string, filename string")
+    files = spark.createDataFrame([(n, f"{tmp_path}/in/{n}") for n in ("x.png", "y.png", "gone.png")], "filename string, path string")
+    done = sinks.copy_groups(groups, files, f"{tmp_path}/out")
+    assert {(r.filename, r.copied) for r in done.collect()} == {("x.png", True), ("y.png", True), ("gone.png", False)}
+    assert sorted(p.name for p in (tmp_path / "out" / "group_000").iterdir()) == ["x.png", "y.png"] and (tmp_path / "out" / "group_000" / "x.png").read_bytes() == b"x.png"
+
+
+def test_report_in_words(spark):
+    x = np.random.default_rng(0).random((6, 8))
+    x[3] = x[1]
+    r = dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), "sign_lsh", 8, threshold=0, planes=64)
+    said = [q.line for q in lines(r, correct=spark.createDataFrame([(50.0,)], "accuracy double")).collect()]
+    assert said[0] == "items: 6" and "accuracy: 50.00 %" in said and any(s.startswith("clustering: ") for s in said)
+
+
+def test_valley_of_the_mixture_is_one(spark):
+    from twinsieve import queries
+
+    d = "/root/testdata/sf0.001"
+    found = {r.distance for r in threshold.minima(queries.threshold_valley_smoothed(spark, d)).collect()}
+    assert queries.threshold_valley_mixture(spark, d).first().threshold in found
+
+
 def test_image_quality_scores_every_row(spark, tmp_path):
     from twinsieve.queries import image_quality
 

@@ -60,9 +60,9 @@ def accuracy_owners(counts: DataFrame, rest: int = 1 << 20) -> DataFrame:
         open_ = settle(open_.join(took.select("class"), "class", "left_anti").join(took.select("group_id"), "group_id", "left_anti").select("class", "place", "group_id"), "candidates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches, pd.DataFrame({"class": [], "place": [], "group_id": []}, dtype=object)]).sort_values(["class", "place"])
         own, taken = {}, set()
-        for name, group in zip(rows["class"], rows["group_id"], strict=True):
+        rows = sorted(x for b in batches for x in zip(b["class"], b["place"], b["group_id"], strict=True))
+        for name, _, group in rows:
             if name not in own and group not in taken:
                 own[name] = group
                 taken.add(group)

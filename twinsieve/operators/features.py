@@ -43,10 +43,11 @@ class GridExtractor(Extractor):
         return np.maximum(0, np.concatenate([p.reshape(n, -1) for p in parts], axis=1))
 
 
-def extract(images: DataFrame, model: Extractor, variants: Callable = pixels.batch_set, size: int = 224, batch: int = 24, unit: bool = True, seed: int = 0) -> DataFrame:
+def extract(images: DataFrame, model: Extractor, variants: Callable = pixels.batch_set, size: int = 224, batch: int = 24, unit: bool = True, seed: int = 0, keep_bad: bool = False) -> DataFrame:
     """``images(filename, image)`` -> (filename, features): the mean over the variants of each image.
 
-    An image that cannot be decoded gives no row. Noise is seeded by the file name.
+    An image that cannot be decoded gives no row, or with ``keep_bad`` the row that an
+    image of zeros gives. Noise is seeded by the file name.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,10 +55,11 @@ def extract(images: DataFrame, model: Extractor, variants: Callable = pixels.bat
         for frame in frames:
             rows = []
             for name, h, w, c, data in frame.itertuples(index=False):
-                if h < 1 or w < 1:
+                bad = h < 1 or w < 1
+                if bad and not keep_bad:
                     continue
                 rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
-                x = pixels.resize(pixels.grayscale(bgr_of(h, w, c, data)[..., ::-1] / 255.0), size, size)
+                x = np.zeros((size, size, 3)) if bad else pixels.resize(pixels.grayscale(bgr_of(h, w, c, data)[..., ::-1] / 255.0), size, size)
                 all_ = [pixels.channel_normalize(v) for v in variants(x, rng)]
                 v = np.concatenate([model.embed(np.stack(all_[i : i + batch])) for i in range(0, len(all_), batch)]).mean(axis=0)
                 n = np.linalg.norm(v)

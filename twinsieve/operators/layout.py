@@ -53,3 +53,21 @@ def records(points: DataFrame, files: DataFrame, quality: DataFrame) -> DataFram
     cluster = F.coalesce("cluster_base", "cluster_filename", "cluster_stem", F.lit(NOISE))
     path = F.when(cluster == NOISE, F.col("filename")).otherwise(F.concat_ws("/", cluster, "base"))
     return p.select("x", "y", "z", "filename", path.alias("path"), cluster.alias("cluster"), F.coalesce("quality_base", "quality_filename", "quality_stem", F.lit(DEFAULT_QUALITY)).alias("quality"))
+
+
+def existing(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """``paths(path)`` whose base name is that of one of ``files(filename)``."""
+    return paths.join(files.select(basename(F.col("filename")).alias("_base")).distinct(), basename(F.col("path")) == F.col("_base"), "left_semi")
+
+
+def member_rows(members: DataFrame, points: DataFrame) -> DataFrame:
+    """``members(group_id, path)``, ``points(idx, filename)`` -> (group_id, path, idx): the row of a member by base name; of rows with the same name the last."""
+    last = points.groupBy(basename(F.col("filename")).alias("_base")).agg(F.max("idx").alias("idx"))
+    return members.join(last, basename(F.col("path")) == F.col("_base")).select("group_id", "path", "idx")
+
+
+def score_of(members: DataFrame, scores: DataFrame) -> DataFrame:
+    """``members(group_id, path)``, ``scores(group_id, path, total)`` -> with total: the score in the own group, else that in the first group by name which has the path."""
+    own = scores.groupBy("group_id", "path").agg(F.max("total").alias("own"))
+    elsewhere = scores.where("total is not null").groupBy("path").agg(F.min_by("total", "group_id").alias("other"))
+    return members.join(own, ["group_id", "path"], "left").join(elsewhere, "path", "left").select("group_id", "path", F.coalesce("own", "other").alias("total"))

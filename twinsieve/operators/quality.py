@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.functions.names import basename, filename_bonus
-from twinsieve.functions.vectors import clamp
+from twinsieve.functions.vectors import clamp, half_even
 
 # Weights of the measures.
 WEIGHTS = {"resolution": 0.20, "sharpness": 0.30, "exposure": 0.15, "contrast": 0.10, "noise": 0.05, "color_richness": 0.15, "edge_integrity": 0.05}
@@ -121,6 +121,26 @@ def score(images: DataFrame) -> DataFrame:
     return m.select("filename", *[c.alias(k) for k, c in safe.items()], bonus.alias("filename_bonus"), F.when(bad, 0.0).otherwise(total(safe, bonus)).alias("total"), F.when(bad, "cannot be read").alias("error"))
 
 
+def rounded(scored: DataFrame) -> DataFrame:
+    """Measures, bonus and total to two decimal digits, half to even, as they are shown."""
+    return scored.select(*[half_even(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in scored.dtypes])
+
+
+def sharpness_and_saturation(images: DataFrame) -> DataFrame:
+    """``images(filename, image)`` -> (filename, sharpness, saturation): variance of the Laplacian and mean saturation; 0 where nothing can be decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for name, h, w, c, data in b.itertuples(index=False):
+                x = bgr_of(h, w, c, data) if h > 0 and w > 0 else None
+                rows.append((name, 0.0, 0.0) if x is None else (name, float(laplacian(gray(x.astype(float))).var()), saturation(x)))
+            yield pd.DataFrame(rows, columns=["filename", "sharpness", "saturation"])
+
+    flat = images.select("filename", *[F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data")])
+    return flat.mapInPandas(run, "filename string, sharpness double, saturation double")
+
+
 def better_of(scored: DataFrame, sharp: float = 100, colour: float = 20) -> DataFrame:
     """``scored(group_id, id, sharpness, saturation)`` -> (group_id, id): good ones first, then sharper, then earlier."""
     good = ((F.col("sharpness") > sharp) & (F.col("saturation") > colour)).cast("int")

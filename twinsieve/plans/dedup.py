@@ -90,3 +90,17 @@ def report(result: Result, scores: DataFrame, vectors: DataFrame) -> Report:
     several = result.groups.where("size > 1").select("id", F.col("group_id").alias("cluster"))
     points = layout.spread(layout.project(vectors, "id", "vec"), several, "id")
     return Report(g, ranked, points.join(scores, "id", "left").withColumn("quality", F.coalesce("total", F.lit(layout.DEFAULT_QUALITY))).drop("total"), grouping.summary(result.groups))
+
+
+def lines(result: Result, scores: DataFrame | None = None, correct: DataFrame | None = None) -> DataFrame:
+    """The report in words, one row a line: (line). scores: macro measures; correct: accuracy, one row each."""
+    number = lambda c, n=2: F.format_string(f"%.{n}f", F.col(c).cast("double"))
+    out = grouping.summary(result.groups.select("id", "leader")).select(F.explode(F.array(
+        F.concat(F.lit("items: "), "total_items"), F.concat(F.lit("groups: "), "n_groups"), F.concat(F.lit("items in groups of several: "), "grouped_items"), F.concat(F.lit("items that could go: "), "redundant_items", F.lit(" ("), number("saved_percent"), F.lit(" %)")),
+        *[F.lit(f"{k}: {v:.2f} s") for k, v in result.seconds.items()],
+    )).alias("line"))
+    if scores is not None:
+        out = out.unionByName(scores.select(F.explode(F.array(*[F.concat(F.lit(f"{c}: "), number(c, 4)) for c in ("precision", "recall", "f1")])).alias("line")))
+    if correct is not None:
+        out = out.unionByName(correct.select(F.concat(F.lit("accuracy: "), number("accuracy"), F.lit(" %")).alias("line")))
+    return out

@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.functions import names
-from twinsieve.functions.vectors import doubles, min_max_scale, normalize, standardize
+from twinsieve.functions.vectors import clamp, doubles, half_even, hamming_elements, min_max_scale, normalize, standardize
 from twinsieve.operators import curate, distances, evaluate, grouping, knn, layout, quality, threshold
 from twinsieve.operators.hashing import BandedProjection, LeastProjection, SignProjection, SimilarityHash
+from twinsieve.plans.dedup import dedup
 from twinsieve.storage import settle, shared_dir
 
 DIM = 64
 SIGN = SignProjection(32, DIM, 0)
 BANDED = BandedProjection(32, DIM, 4, 1)
 LEAST = LeastProjection(16, DIM, 2)
-SIM = SimilarityHash(48, DIM)
+SIM, SIM_LONG = SimilarityHash(48, DIM), SimilarityHash(128, DIM)
 WITHIN, BANDED_WITHIN, K, SIMILAR = 6, 6, 10, 0.37
 
 
@@ -144,6 +145,105 @@ def leader_groups(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d)
 
 
+def threshold_valley_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The first valley of that mixture; it is one between two hills, not the percentile."""
+    h = hamming_histogram(spark, d).select("distance", F.when(F.col("distance") < 10, F.col("cnt") * 1000).otherwise(F.col("cnt")).alias("cnt"))
+    return threshold.valley(settle(h, "histogram"))
+
+
+def simhash_codes_128(spark: SparkSession, d: str) -> DataFrame:
+    v = settle(_unit(spark, d), "vectors")
+    return v.select(F.col("id").alias("vec_id"), SIM_LONG.code("vec", SimilarityHash.fit(v, "vec")).alias("code"))
+
+
+def min_projection_stddev(spark: SparkSession, d: str) -> DataFrame:
+    fitted = LEAST.fit(settle(LEAST.values(_unit(spark, d), "id", "vec"), "values"))
+    return fitted.select("dim", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stddev")])
+
+
+def dedup_sign_lsh(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run, with the threshold from the histogram."""
+    v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return dedup(v, "sign_lsh", DIM, planes=SIGN.count, seed=SIGN.seed).groups
+
+
+def dedup_knn(spark: SparkSession, d: str) -> DataFrame:
+    v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return dedup(v, "knn", DIM, threshold=SIMILAR, k=K).groups
+
+
+def sampled(spark: SparkSession, d: str) -> DataFrame:
+    """The sampling operator: 100 rows by a seeded hash of the id."""
+    return distances.sample(_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), 100, seed=3)
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """(id, label, base, stem) of an image for each row of embeddings."""
+    stem = F.concat(F.lit("c"), F.col("label").cast("string"), F.lit("_"), F.col("vec_id").cast("string"))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.concat(stem, F.lit(".png")).alias("base"), stem.alias("stem"), "embedding")
+
+
+def map_records(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the map with clusters and scores found by base name, full path or stem, or by none."""
+    f = _files(spark, d)
+    points = f.select(F.col("base").alias("filename"), *[F.round(F.col("embedding")[i].cast("double"), 4).alias(c) for i, c in enumerate("xyz")])
+    group = F.concat(F.lit("group_"), F.col("label").cast("string"))
+    files = f.where("id % 4 = 0").select(F.concat(F.lit("/in/"), "base").alias("path"), group.alias("cluster")).union(f.where("id % 4 = 1").select(F.concat(F.lit("/in/"), "stem", F.lit(".jpeg")).alias("path"), group.alias("cluster")))
+    scores = f.where("id % 3 = 0").select(F.col("base").alias("path"), (F.col("id") % 90).cast("double").alias("total"))
+    return layout.records(points, files, scores)
+
+
+def spread_points(spark: SparkSession, d: str) -> DataFrame:
+    """Given points drawn together by label, or apart: rows of the label 0 are in no cluster."""
+    f = _table(spark, d, "embeddings")
+    points = f.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+    clusters = f.where("label > 0").select(F.col("vec_id").alias("id"), F.concat(F.lit("g"), F.col("label").cast("string")).alias("cluster"))
+    return layout.spread(points, clusters, "id").select("id", *[F.round(c, 6).alias(c) for c in "xyz"], "cluster")
+
+
+def valid_paths(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    return layout.existing(f.select(F.concat(F.lit("/in/"), "base").alias("path")), f.where("id % 3 <> 0").select(F.col("base").alias("filename")))
+
+
+def member_rows(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    points = f.select(F.col("id").alias("idx"), F.concat(F.lit("c"), F.col("label").cast("string"), F.lit(".png")).alias("filename"))
+    members = f.where("id % 7 = 0").select(F.concat(F.lit("g"), (F.col("id") % 5).cast("string")).alias("group_id"), F.concat(F.lit("/in/c"), F.col("label").cast("string"), F.lit(".png")).alias("path"))
+    return layout.member_rows(members.distinct(), points)
+
+
+def score_fallback(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    group = lambda n: F.concat(F.lit("g"), (F.col("id") % n).cast("string"))
+    scores = f.where("id % 2 = 0").select(group(4).alias("group_id"), F.col("base").alias("path"), (F.col("id") % 50).cast("double").alias("total"))
+    return layout.score_of(f.select(group(6).alias("group_id"), F.col("base").alias("path")), scores.union(scores.select(F.lit("h").alias("group_id"), "path", F.col("total") + 1)))
+
+
+def image_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Those scores of ``image_quality`` that SQL can express: all but the ones from edges."""
+    return image_quality(spark, d).select("filename", *[F.round(c, 4).alias(c) for c in ("resolution", "sharpness", "exposure", "contrast", "color_richness", "edge_integrity", "filename_bonus")])
+
+
+def better_of_group(spark: SparkSession, d: str) -> DataFrame:
+    f = _table(spark, d, "embeddings").select(F.concat(F.lit("g"), F.col("label").cast("string")).alias("group_id"), F.col("vec_id").alias("id"), (F.col("vec_id") * 37 % 200).cast("double").alias("sharpness"), (F.col("vec_id") * 13 % 40).cast("double").alias("saturation"))
+    return quality.better_of(f)
+
+
+def name_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Suffix, class, stem and harmless form of names made from urls."""
+    name = F.concat(F.lit("../"), F.element_at(F.array(*map(F.lit, ("a_1", "b_x_2", "c", ".d"))), (F.col("page_id") % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, (".JPG", ".png.txt", ".Jpeg", ""))), (F.col("page_id") % 5 % 4 + 1).cast("int")))
+    t = _table(spark, d, "pages").select("page_id", name.alias("name"))
+    base = names.basename(F.col("name"))
+    return t.select("page_id", names.is_image(F.col("name")).alias("is_image"), names.label_of(base).alias("label"), names.stem(F.col("name")).alias("stem"), names.safe_name(F.col("name")).alias("safe"))
+
+
+def clamped(spark: SparkSession, d: str) -> DataFrame:
+    """Values held between 0 and 100, and rounded half to even."""
+    x = F.col("vec_id") * F.lit(0.125) - 20
+    return _table(spark, d, "embeddings").select("vec_id", clamp(x, 0.0, 100.0).alias("clamped"), half_even(x).alias("rounded"), hamming_elements(F.array("vec_id", "label"), F.array(F.lit(3).cast("long"), F.col("label"))).alias("unequal"))
+
+
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
     return knn.nearest(_unit(spark, d), K)
 
@@ -281,7 +381,7 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     return grouping.named(settle(g, "groups"))
 
 
-_NOT_QUERIES = {"doubles", "min_max_scale", "normalize", "standardize", "images", "settle", "shared_dir", "entry", "png", "queries", "oracle_sql"}
+_NOT_QUERIES = {"clamp", "dedup", "doubles", "min_max_scale", "normalize", "standardize", "images", "settle", "shared_dir", "entry", "png", "queries", "oracle_sql"}
 
 
 def queries() -> dict:
@@ -342,6 +442,21 @@ def oracle_sql() -> dict[str, str]:
     sim = f"{idf}, wt AS (SELECT id, x * idf AS w, CAST(ws[{token}] AS BIGINT) AS word FROM l JOIN idf USING (dim) JOIN {phi} ON pd = dim WHERE abs(x * idf) >= 1e-9), acc AS (SELECT id, j, sum(CASE WHEN (word >> j) & 1 = 1 THEN w ELSE -w END) AS a FROM wt, (SELECT CAST(unnest(range({SIM.bits})) AS INT) AS j) GROUP BY id, j)"
     top = f"WITH RECURSIVE {_U}, s AS (SELECT x.id, y.id AS other, list_dot_product(x.v, y.v) AS sim FROM u x JOIN u y ON x.id <> y.id), nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, other) AS INT) AS rank FROM s QUALIFY rank <= {K - 1})"
     ed = f"{top}, ed AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b FROM nn WHERE sim >= {SIMILAR})"
+    pat2 = SIM_LONG.patterns()
+    words2 = [[sum(1 << j for j in range(64) if pat2[i, t, j] > 0) for t in range(4)] for i in range(DIM)]
+    phi2 = "(VALUES " + ", ".join(f"({i}, [" + ", ".join(f"{w}::UBIGINT" for w in r) + "])" for i, r in enumerate(words2)) + ") phi(pd, ws)"
+    sim2 = f"{idf}, wt AS (SELECT id, x * idf AS w, ws[{token}] AS word FROM l JOIN idf USING (dim) JOIN {phi2} ON pd = dim WHERE abs(x * idf) >= 1e-9), acc AS (SELECT id, j, sum(CASE WHEN (word >> CAST(j AS UBIGINT)) & 1 = 1 THEN w ELSE -w END) AS a FROM wt, (SELECT CAST(unnest(range(64)) AS INT) AS j) GROUP BY id, j), cs AS (SELECT id, sum(CASE WHEN a >= 0 THEN 1::HUGEINT << (63 - j) ELSE 0::HUGEINT END) AS c FROM acc GROUP BY id)"
+    mins = f"minima AS (SELECT list(distance ORDER BY distance) AS ats FROM nb WHERE s < a1 AND s < b1 AND s < a2 AND s < b2)"
+    valley = lambda h, p: f"{smooth(h)}, nb AS (SELECT distance, s, {near[1]}, {near[2]} FROM sm WINDOW o AS (ORDER BY distance)), {mins}, sp AS (SELECT min(distance) AS lo, max(distance) AS hi FROM {h}), thr AS (SELECT CAST(CASE WHEN hi - lo < 2 THEN lo ELSE coalesce(CASE WHEN ats[1] < lo + 2 AND len(ats) > 1 THEN ats[2] ELSE ats[1] END, {p}) END AS INT) AS threshold FROM minima, sp)"
+    sized = "z AS (SELECT leader, count(*) AS size FROM g GROUP BY leader)"
+    comp = f"{ed}, re AS (SELECT id AS x, id AS y FROM u UNION SELECT re.x, q.b FROM re JOIN (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed) q ON re.y = q.a), g AS (SELECT x AS id, min(y) AS leader FROM re GROUP BY x)"
+    files = "f AS (SELECT vec_id AS id, label, 'c' || label || '_' || vec_id AS stem, 'c' || label || '_' || vec_id || '.png' AS base, embedding FROM embeddings)"
+    px = """px AS (SELECT vec_id, label, p // 32 AS i, p % 32 AS j, list_transform([xor(p // 32, p % 32) % 64, (p // 32 + p % 32) % 64, ((p // 32) * (p % 32)) % 64], lambda a: CAST(greatest(least(trunc(128 + 400 * CAST(embedding[a + 1] AS DOUBLE)), 255), 0) AS INT)) AS c FROM embeddings, (SELECT unnest(range(1024)) AS p)),
+gr AS (SELECT vec_id, label, i, j, floor(c[1] * 0.114::DOUBLE + c[2] * 0.587::DOUBLE + c[3] * 0.299::DOUBLE + 0.5::DOUBLE) AS g, (c[3] - c[2] + 256) % 256 AS d1, (c[3] - c[1] + 256) % 256 AS d2, (c[2] - c[1] + 256) % 256 AS d3 FROM px),
+im AS (SELECT vec_id, any_value(label) AS label, avg(g) AS light, stddev_pop(g) AS dev, (stddev_pop(d1) + stddev_pop(d2) + stddev_pop(d3)) / 3 AS colour, list(g ORDER BY i, j) AS l,
+ CAST(avg(g) FILTER (WHERE i < 3 AND j < 3) < 30 AS INT) + CAST(avg(g) FILTER (WHERE i < 3 AND j > 28) < 30 AS INT) + CAST(avg(g) FILTER (WHERE i > 28 AND j < 3) < 30 AS INT) + CAST(avg(g) FILTER (WHERE i > 28 AND j > 28) < 30 AS INT) AS black FROM gr GROUP BY vec_id),
+lp AS (SELECT vec_id, var_pop(l[32 * CASE i WHEN 0 THEN 1 ELSE i - 1 END + j + 1] + l[32 * CASE i WHEN 31 THEN 30 ELSE i + 1 END + j + 1] + l[32 * i + CASE j WHEN 0 THEN 1 ELSE j - 1 END + 1] + l[32 * i + CASE j WHEN 31 THEN 30 ELSE j + 1 END + 1] - 4 * l[32 * i + j + 1]) AS v FROM im, (SELECT unnest(range(32)) AS i), (SELECT unnest(range(32)) AS j) GROUP BY vec_id)"""
+    made = "t AS (SELECT page_id, '../' || ['a_1', 'b_x_2', 'c', '.d'][page_id % 4 + 1] || ['.JPG', '.png.txt', '.Jpeg', ''][page_id % 5 % 4 + 1] AS name FROM pages)"
     words_sql = "[" + ", ".join(f"'{w}'" for w in names.BONUS) + "]"
     name = f"lower({words_sql}[page_id % 11 + 1] || '_' || {words_sql}[page_id % 7 + 1] || '_' || regexp_extract(url, '[^/]*$'))"
     case = lambda i: "CASE " + " ".join(f"WHEN s >= {b[0]} THEN '{b[i]}'" for b in names.BANDS) + f" ELSE '{names.LOWEST[i - 1]}' END"
@@ -383,5 +498,20 @@ go AS (SELECT 0::BIGINT AS n, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCH
         "delete_items": f"{members} SELECT group_id, id FROM m WHERE id % 3 <> 0", "delete_group": f"{members} SELECT group_id, id FROM m WHERE group_id <> 'g0'",
         "keep_one": f"{members} SELECT group_id, id FROM m WHERE group_id <> 'g0' UNION ALL SELECT 'g0', -1",
         "move_items": f"{members} SELECT group_id, id FROM m WHERE id % 5 <> 0 UNION ALL SELECT 'moved', id FROM m WHERE id % 5 = 0",
+        "threshold_valley_mixture": f"{hist}, h2 AS (SELECT distance, CASE WHEN distance < 10 THEN cnt * 1000 ELSE cnt END AS cnt FROM h), {valley('h2', pct.replace('FROM h)', 'FROM h2)'))} SELECT threshold FROM thr",
+        "simhash_codes_128": f"{sim2} SELECT id AS vec_id, CAST(CASE WHEN c >= 9223372036854775808::HUGEINT THEN c - 18446744073709551616::HUGEINT ELSE c END AS BIGINT) AS code FROM cs",
+        "min_projection_stddev": f"{vals}, sd AS (SELECT dim, greatest(stddev_pop(v), 1e-12) AS stddev FROM val GROUP BY dim) SELECT CAST(dim AS INT) AS dim, round(mean, 6) AS mean, round(med, 6) AS median, round(stddev, 6) AS stddev FROM st JOIN sd USING (dim)",
+        "dedup_sign_lsh": f"{hist}, {valley('h', pct)}, " + _leader_sql("SELECT first_id AS id, code AS c FROM b", "bit_count(xor(x.c, y.c)) <= (SELECT threshold FROM thr)") + f", g AS (SELECT c.id, leader FROM c JOIN b USING (code) JOIN lead ON lead.id = first_id), {sized}, y AS (SELECT *, format('group_{{:03d}}', row_number() OVER (ORDER BY leader) - 1) AS group_id FROM z) SELECT id, leader, group_id, size FROM g JOIN y USING (leader)",
+        "dedup_knn": f"{comp}, {sized}, y AS (SELECT *, format('group_{{:03d}}', row_number() OVER (ORDER BY size DESC, leader) - 1) AS group_id FROM z) SELECT id, leader, group_id, size FROM g JOIN y USING (leader)",
+        "sampled": "SELECT vec_id AS id, label FROM embeddings ORDER BY md5(vec_id || ':3'), vec_id LIMIT 100",
+        "map_records": f"WITH {files} SELECT round(CAST(embedding[1] AS DOUBLE), 4) AS x, round(CAST(embedding[2] AS DOUBLE), 4) AS y, round(CAST(embedding[3] AS DOUBLE), 4) AS z, base AS filename, CASE WHEN id % 4 < 2 THEN 'group_' || label || '/' || base ELSE base END AS path, CASE WHEN id % 4 < 2 THEN 'group_' || label ELSE 'Noise/Unique' END AS cluster, CASE WHEN id % 3 = 0 THEN CAST(id % 90 AS DOUBLE) ELSE 50.0::DOUBLE END AS quality FROM f",
+        "spread_points": "WITH p AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), m AS (SELECT label, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY label) SELECT id, " + ", ".join(f"round(CASE WHEN label > 0 THEN c{c} * 10 + ({c} - c{c}) * 30 ELSE {c} * 15 END, 6) AS {c}" for c in "xyz") + ", CASE WHEN label > 0 THEN 'g' || label ELSE 'Noise/Unique' END AS cluster FROM p JOIN m USING (label)",
+        "valid_paths": f"WITH {files} SELECT '/in/' || base AS path FROM f WHERE id % 3 <> 0",
+        "member_rows": "WITH m AS (SELECT DISTINCT 'g' || (vec_id % 5) AS group_id, label FROM embeddings WHERE vec_id % 7 = 0) SELECT group_id, '/in/c' || m.label || '.png' AS path, max(vec_id) AS idx FROM m JOIN embeddings e ON e.label = m.label GROUP BY ALL",
+        "score_fallback": f"WITH {files} SELECT 'g' || (id % 6) AS group_id, base AS path, CASE WHEN id % 2 = 0 THEN CAST(id % 50 AS DOUBLE) END AS total FROM f",
+        "image_measures": f"WITH {px} SELECT 'c' || label || '_' || vec_id || '.png' AS filename, round(least(100, 1024 / 1e6::DOUBLE / 12 * 100), 4) AS resolution, round(least(100.0::DOUBLE, v / 500 * 100), 4) AS sharpness, round(greatest(0.0::DOUBLE, 100 - abs(light - 127) / 127 * 100), 4) AS exposure, round(least(100.0::DOUBLE, dev / 70 * 100), 4) AS contrast, round(CASE WHEN colour < 5 THEN 0.0::DOUBLE WHEN colour > 30 THEN 100.0::DOUBLE ELSE colour / 30 * 100 END, 4) AS color_richness, CAST([100, 80, 40, 0, 0][black + 1] AS DOUBLE) AS edge_integrity, 0.0::DOUBLE AS filename_bonus FROM im JOIN lp USING (vec_id)",
+        "better_of_group": "SELECT group_id, id FROM (SELECT 'g' || label AS group_id, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 37 % 200 > 100 AND vec_id * 13 % 40 > 20) DESC, vec_id * 37 % 200 DESC, vec_id) AS r FROM embeddings) WHERE r = 1",
+        "name_parts": f"WITH {made}, q AS (SELECT *, regexp_extract(name, '[^/]*$') AS b FROM t) SELECT page_id, regexp_matches(lower(name), '[.](jpg|jpeg|png)$') AS is_image, split_part(b, '_', 1) AS label, regexp_replace(b, '[.][^.]*$', '') AS stem, replace(replace(name, '..', ''), '/', '_') AS safe FROM q",
+        "clamped": "SELECT vec_id, greatest(0.0::DOUBLE, least(100.0::DOUBLE, vec_id * 0.125::DOUBLE - 20)) AS clamped, round_even(vec_id * 0.125::DOUBLE - 20, 2) AS rounded, CAST(vec_id <> 3 AS INT) AS unequal FROM embeddings",
         "streaming_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     }

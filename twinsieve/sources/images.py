@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.functions.names import basename, is_image, safe_name
+from twinsieve.operators.curate import UnknownSession
 
 GLOB = "*.{jpg,JPG,Jpg,jpeg,JPEG,Jpeg,png,PNG,Png}"
 
@@ -37,6 +39,28 @@ def upload(names: DataFrame) -> DataFrame:
     return names.where(F.trim("name") != "").select(F.lit(session).alias("session_id"), safe_name(F.col("name")).alias("filename"))
 
 
+def store(files: DataFrame, folder: str) -> DataFrame:
+    """``files(name, content)`` -> stored as a table under ``folder/<session>``: (session_id, filename, content).
+
+    Blank names go and paths are made harmless; of one name the largest content stays.
+    """
+    session = files.sparkSession.sql("SELECT substr(uuid(), 1, 8) AS s").first().s
+    kept = files.where(F.trim("name") != "").select(safe_name(F.col("name")).alias("filename"), F.col("content").cast("binary").alias("content"))
+    kept.groupBy("filename").agg(F.max("content").alias("content")).write.parquet(f"{folder}/{session}")
+    return session_files(files.sparkSession, folder, session)
+
+
+def session_files(spark: SparkSession, folder: str, session: str) -> DataFrame:
+    """(session_id, filename, content) of a session; ``UnknownSession`` if there is none, ``ValueError`` if it is empty."""
+    try:
+        found = spark.read.parquet(f"{folder}/{session}")
+    except AnalysisException as e:
+        raise UnknownSession(session) from e
+    if found.isEmpty():
+        raise ValueError(f"session {session} has no files")
+    return found.select(F.lit(session).alias("session_id"), "filename", "content")
+
+
 def serve(table: DataFrame, name: str) -> DataFrame:
     """The rows whose path or base name is ``name``; none for a name that climbs."""
     return table.where((F.lit(name).contains("..") == F.lit(False)) & ((F.col("path") == name) | (basename(F.col("path")) == basename(F.lit(name)))))
