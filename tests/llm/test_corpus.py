@@ -669,6 +669,18 @@ def test_pipeline_keeps_other_columns_and_odd_rows(spark, tmp_path):
     assert packed.where("piece = 0").count() == len(left) and p.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op7_embedding_dedup", "op8_warc"])
+def test_oracle(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert rows(queries.queries()[name](spark, DATA).select(*columns)) == sorted(want.fetchall(), key=repr)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 

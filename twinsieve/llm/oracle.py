@@ -37,4 +37,25 @@ c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
 """
 
-SQL = {"op3_decontaminate": DECONTAMINATE, "op5_minhash": MINHASH}
+EMBEDDINGS = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+g AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e WHERE label IS NOT NULL AND len(v) > 0
+  AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+k AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+"""
+
+_FOURS = ", ".join(f"'{i:04b}'" for i in range(16))
+_FIVE = " + ".join(f"{16 >> j} * CAST(substr(bits, CAST(5 * k + {j + 1} AS BIGINT), 1) AS INT)" for j in range(5))
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, h, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: [{_FOURS}][strpos('0123456789abcdef', c)]), '') AS bits, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM d
+"""
+
+SQL = {"op3_decontaminate": DECONTAMINATE, "op5_minhash": MINHASH, "op7_embedding_dedup": EMBEDDINGS, "op8_warc": WARC}
