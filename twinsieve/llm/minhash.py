@@ -199,18 +199,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = settle(banded.join(shared, "bucket"), "members", narrow=True)
     texts = settle(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     star = settle(_verify(members.where("rep > leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), texts, shingle, percent), "star")
-    c, tried = _labelled(members, star), members.where("rep = leader").select("bucket", "rep")
-    for _ in range(LEADERS):
-        alone = c.where("rest and component = rep").join(tried, ["bucket", "rep"], "left_anti")
-        alone = settle(alone.select("bucket", "rep"), "alone", narrow=True)
-        again = alone.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where(F.col("n") > UNREACHED).select("bucket", "leader")
-        again = settle(again, "leaders", narrow=True)
-        if again.isEmpty():
-            break
-        pairs = alone.join(again, "bucket").where("rep > leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-        star = settle(star.union(_verify(pairs, texts, shingle, percent)), "star")
-        tried = tried.union(again.select("bucket", F.col("leader").alias("rep")))
-        c = _labelled(members, star)
+    c = _labelled(members, star)
+    alone = c.where("rest and component = rep").select("bucket", "rep")
+    hot = settle(alone.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > UNREACHED).select("bucket"), "hot", narrow=True)
+    if not hot.isEmpty():
+        # Only the members of these buckets are looked at again.
+        alone = settle(alone.join(hot, "bucket"), "alone", narrow=True)
+        for _ in range(LEADERS):
+            again = alone.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where(F.col("n") > UNREACHED).select("bucket", "leader")
+            again = settle(again, "leaders", narrow=True)
+            if again.isEmpty():
+                break
+            pairs = alone.join(again, "bucket").where("rep > leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+            more = settle(_verify(pairs, texts, shingle, percent), "star")
+            star = star.union(more)
+            left = alone.join(more.select(F.col("a").alias("rep")).distinct(), "rep", "left_anti").join(again, "bucket").where("rep <> leader")
+            alone = settle(left.select("bucket", "rep"), "alone", narrow=True)
+        c = c.join(hot, "bucket", "left_anti").unionByName(_labelled(members.join(hot, "bucket", "left_semi"), star))
     sizes = c.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count_if(~F.col("rest")).alias("n_main")).where("n_rest > 0")
     sizes = sizes.select("bucket", F.ceil(F.col("n_rest") / CELL).cast("int").alias("k_rest"), F.ceil(F.col("n_main") / CELL).cast("int").alias("k_main"))
     sizes = settle(sizes, "sizes", narrow=True)
