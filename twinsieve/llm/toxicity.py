@@ -28,8 +28,9 @@ from twinsieve.llm.shared import crc_of_id, single_threaded
 #: Bounds of the samples of each label: examples, and rows that votes are calibrated on.
 EXAMPLES, CALIBRATION = 2000, 500
 NEIGHBOURS, BLOCK = 15, 128
-#: Blocks that a query visits at first before it looks at the bounds again, and how many times as many it visits the next time.
-OPENING, GROWTH = 2, 16
+#: A query first visits the blocks of at least this part of the highest bound, and ``OPENING`` at least; then it looks at the
+#: bounds again, and visits ``GROWTH`` times as many each time.
+HIGH, OPENING, GROWTH = 0.5, 2, 16
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (5,)
 #: Mass of the prior in a vote, in units of squared similarity.
@@ -152,7 +153,7 @@ class Examples:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        at, step = 0, OPENING
+        at, step = 0, max(OPENING, int((bound[order] >= HIGH * bound[order[0]]).sum()) if len(order) else 0)
         while at < len(order):
             # Sums in another order differ in the last digits, so a bound must be clearly below.
             if len(best) == k and bound[order[at]] < best[-1][0] - 1e-12:
