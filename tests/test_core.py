@@ -10,9 +10,10 @@ from twinsieve.operators import curate, distances, evaluate, grouping, hashing,
 from twinsieve.operators.features import GridExtractor, extract
 from twinsieve.operators.hashing import BandedProjection, SignProjection, SimilarityHash
 from twinsieve.plans.dedup import METHODS, dedup, lines, report
-from twinsieve.queries import png
+from twinsieve.queries import png, queries
 from twinsieve.sources import images as src
 from twinsieve.sources import sinks
+from twinsieve.storage import settle
 
 
 def test_murmur_known_values():
@@ -78,6 +79,39 @@ def test_narrow_bands_are_not_joined(spark):
     assert len(a) >= 200 and sorted(map(tuple, near.collect())) == sorted(zip(ids[a].tolist(), ids[b].tolist(), d[a, b].tolist(), strict=True))
 
 
+def test_leaders_of_codes_equal_those_of_pairs(spark):
+    """Rounds of any size, codes with the highest bit, and distances from none to nearly all."""
+    rng = random.Random(9)
+    codes = [rng.getrandbits(8) | (i % 2) << 63 for i in range(90)]
+    rows = [(i * 5 - 200, c - (1 << 64) if c >> 63 else c) for i, c in enumerate(codes)]
+    b = settle(distances.buckets(spark.createDataFrame(rows, "id long, code long")), "buckets")
+    first = {r.code: r.first_id for r in b.collect()}
+    for within, size in ((0, 1 << 15), (1, 7), (2, 20), (2, len(first)), (8, 7)):
+        order = sorted(first, key=first.get)
+        near = [(first[x], first[y]) for i, x in enumerate(order) for y in order[i + 1 :] if ((x ^ y) & (1 << 64) - 1).bit_count() <= within]
+        pairs = spark.createDataFrame(near, "a long, b long")
+        want = {r.id: r.leader for r in grouping.leaders(b.select(F.col("first_id").alias("id")), pairs).collect()}
+        got = grouping.leaders_of_codes(b, within, size).collect()
+        assert len(got) == len(first) and {first[r.code]: r.leader for r in got} == want
+    assert grouping.leaders_of_codes(b.limit(0), 3).count() == 0
+
+
+#: Queries on groups of codes.
+GROUPED = ("leader_groups",)
+
+
+@pytest.mark.parametrize("name", GROUPED)
+def test_groups_are_found_without_pairs(spark, monkeypatch, name):
+    """Pairs grow with the square of the rows; a code is compared with leaders and its own round, and no pair is a row."""
+
+    def made(*_args, **_more):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(distances, "hamming_pairs", made)
+    monkeypatch.setattr(grouping, "leaders", made)
+    assert queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_length_is_worked_out_once_a_vector(spark):
     """The length is no part of what is done for each component."""
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, []), (3, None), (4, [0.0, 0.0])], "i int, v array<double>")

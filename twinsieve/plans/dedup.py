@@ -66,8 +66,7 @@ def dedup(vectors: DataFrame, method: str, dim: int, threshold: float | None = N
             few = b if sample is None else distances.buckets(distances.sample(codes, sample))
             threshold = valley(distances.histogram(few)).first().threshold
         width = planes if method == "sign_lsh" else min(64, bits)
-        lead = grouping.leaders(b.select(F.col("first_id").alias("id")), distances.hamming_pairs(b, int(threshold), width))
-        groups = grouping.groups_of_codes(codes, lead)
+        groups = grouping.groups_within(codes, int(threshold), width)
     groups = settle(groups, "groups")
     if not keep_singletons:
         groups = grouping.without_singletons(groups)

@@ -44,9 +44,7 @@ def _buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    codes = settle(_codes(spark, d), "codes")
-    b = distances.buckets(codes)
-    return grouping.groups_of_codes(codes, grouping.leaders(b.select(F.col("first_id").alias("id")), distances.hamming_pairs(b, WITHIN, SIGN.count)))
+    return grouping.groups_within(settle(_codes(spark, d), "codes"), WITHIN, SIGN.count)
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
