@@ -97,7 +97,7 @@ def test_leaders_of_codes_equal_those_of_pairs(spark):
 
 
 #: Queries on groups of codes.
-GROUPED = ("leader_groups", "best_of_group", "dedup_summary", "delete_group", "delete_items", "eval_accuracy", "eval_confusion", "eval_prf_macro", "group_names", "group_sizes_top8", "keep_one")
+GROUPED = ("leader_groups", "best_of_group", "dedup_summary", "delete_group", "delete_items", "eval_accuracy", "eval_confusion", "eval_prf_macro", "group_names", "group_sizes_top8", "keep_one", "move_items")
 
 
 @pytest.mark.parametrize("name", GROUPED)
