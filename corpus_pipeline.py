@@ -2,8 +2,9 @@
 
 Each stage takes what its predecessor kept, as Parquet, and all but the last return
 the columns of ``documents``. A stage hands an operator the id and the text under the
-names that it knows, and the whole row as one column beside them, so further columns
-of any names, those of the operators' results included, come through unchanged. An
+names that it knows, and the rest of the row as one column beside them, so further columns
+of any names, those of the operators' results included, come through unchanged, and a text
+goes to a task once. An
 empty table gives an empty one at each stage.
 """
 
@@ -20,8 +21,13 @@ SECRET = "[SECRET]"
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the whole row, which no operator looks into."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """doc_id, text, and the row without its text, which no operator looks into."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def _whole(carried: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return carried.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows are scored like others; each goes or stays by its own text.
     """
     rated = toxicity.rate_toxicity(_carried(docs), table(spark, sf_dir, "labels"))
-    return rated.where("predicted = 0").select("_row.*")
+    return _whole(rated.where("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ordered = _carried(docs).orderBy(F.col("doc_id").asc_nulls_last(), "text")
     rows = settle(ordered.select(F.monotonically_increasing_id().alias("_key"), "text", "_row"), "rows")
     gone = minhash.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80).where("not kept")
-    return rows.join(settle(gone.select(F.col("doc_id").alias("_key")), "gone"), "_key", "left_anti").select("_row.*")
+    return _whole(rows.join(settle(gone.select(F.col("doc_id").alias("_key")), "gone"), "_key", "left_anti"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keyed=True)
     bad = settle(found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "contaminated")
     same = (F.xxhash64("text") == F.col("_bad_key")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
-    return _carried(docs).join(bad, same, "left_anti").select("_row.*")
+    return _whole(_carried(docs).join(bad, same, "left_anti"), docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,12 +77,12 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts stay as they are, and so does all of a row whose text has no
     secret. Overlapping secrets are one.
     """
-    found = secrets_crf.find_secrets(_carried(docs), mark=SECRET)
+    found = secrets_crf.find_secrets(_carried(docs), mark=SECRET, replace=True)
     kinds = {f.name: f.dataType for f in docs.schema.fields}
-    changed = F.col("spans") != ""
-    new = {"text": F.col("redacted"), "n_chars": F.length("redacted")}
-    old = {c: F.col("_row").getField(c) for c in docs.columns}
-    return found.select(*(F.when(changed, new[c].cast(kinds[c])).otherwise(old[c]).alias(c) if c in new else old[c].alias(c) for c in docs.columns))
+    if "n_chars" not in kinds:
+        return _whole(found, docs)
+    n = F.when(F.col("spans") != "", F.length("text").cast(kinds["n_chars"])).otherwise(F.col("_row").getField("n_chars"))
+    return _whole(found.withColumn("_row", F.col("_row").withField("n_chars", n)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,6 +151,26 @@ def test_secrets(spark, odd):
     assert secrets_crf.redact("abcdef", [(1, 3, "hex"), (2, 4, "crf")], "#") == "a#ef"
 
 
+def test_a_text_goes_to_a_task_once_and_leaves_it_once(spark, monkeypatch):
+    """What a task of the pipeline's secrets holds: one copy of its texts, and results of about a million code points."""
+    import corpus_pipeline
+
+    seen = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: seen.append((self, f, schema)) or self.sparkSession.createDataFrame([], schema))
+    texts = [None, "", "token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", *["word " * 60_000] * 12, "x"]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    corpus_pipeline.hide_secrets(spark, docs, "")
+    (given, run, schema), _ = seen[0], seen.clear()
+    words = lambda kind: str(kind).count("'text', StringType") + str(kind).count("'redacted', StringType")
+    assert words(given.schema) == words(schema) == 1
+    batch = given.coalesce(1).toArrow().combine_chunks().to_batches()
+    out = list(run(iter(batch)))
+    assert len(out) >= 4 and all(sum(len(t or "") for t in b.column("text").to_pylist()) < 2 * secrets_crf.PART for b in out)
+    got = [x for b in out for x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
+    assert got == [(i, corpus_pipeline.SECRET if t and "token" in t else t) for i, t in enumerate(texts)]
+    assert [b.column_names for b in out] == [schema.names] * len(out)
+
+
 def test_secrets_without_digits():
     field = secrets_crf.train()
     for text, secret in (

@@ -47,6 +47,8 @@ UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}
 LEAST = 12
 #: Code points of a text that are read at a time, and words that are remembered.
 SEGMENT, REMEMBERED = 1 << 18, 1 << 19
+#: Code points of texts, about, whose results leave a task at once; a text is never parted.
+PART = 1 << 20
 #: Tokens before one in which a name counts.
 NAMED = 4
 
@@ -433,39 +435,48 @@ def all_spans(text: str, field: Field) -> tuple[list, list]:
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def find_secrets(docs: DataFrame, mark: str | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, mark: str | None = None, replace: bool = False) -> DataFrame:
     """Adds to ``docs(doc_id, text, ...)``: n_assign, n_access, n_hex, base_sha256, spans (and redacted).
 
     Spans are ``kind:start:end`` in code points, end exclusive, over the whole text,
     however long it is. With ``mark`` the column ``redacted`` has the text with each run
-    of overlapping spans replaced by it. A null or empty text has no spans (and stays as
+    of overlapping spans replaced by it; with ``replace`` too it is what ``text`` has, and no
+    other copy of a text leaves the task. A null or empty text has no spans (and stays as
     it is). Spans of one start are in the order of the kinds. One row per row; null ids
     and repeated rows are rows like others, and an empty table gives no rows. Columns of
     docs named like one of the new ones are replaced by it.
     """
+    if replace and mark is None:
+        raise ValueError("replace: a mark")
     docs = docs.drop(*({"n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"} & set(docs.columns)))
     kept = docs.columns
     field = train()
-    more = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", redacted string" if mark is not None else "")
+    apart = mark is not None and not replace
+    more = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", redacted string" if apart else "")
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = [pa.int64()] * 3 + [pa.string()] * (2 if mark is None else 3)
+        names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"]
+        place = kept.index("text")
         for batch in batches:
-            rows = []
-            for text in batch.column(kept.index("text")).to_pylist():
-                base, spans = all_spans(text or "", field)
-                kinds = [k for _, _, k in base]
-                row = [kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans)]
-                if mark is not None:
-                    row.append(redact(text, spans, mark))
-                rows.append(row)
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6 if mark is not None else 5)]
-            kinds = [pa.int64()] * 3 + [pa.string()] * (3 if mark is not None else 2)
-            new = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"][: len(new)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*kept, *names])
+            texts, at = batch.column(place), 0
+            while at < len(texts):
+                first, size, rows = at, 0, []
+                while at < len(texts) and size < PART:
+                    text = texts[at].as_py()
+                    base, spans = all_spans(text or "", field)
+                    found = [k for _, _, k in base]
+                    row = [found.count("assign"), found.count("access"), found.count("hex"), hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(spans)]
+                    rows.append(row if mark is None else [*row, redact(text, spans, mark)])
+                    at, size = at + 1, size + len(text or "") + 256
+                old = batch.slice(first, at - first).columns
+                new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                if replace:
+                    old[place] = new.pop().cast(old[place].type)
+                yield pa.RecordBatch.from_arrays([*old, *new], [*kept, *names[: len(new)]])
 
     return docs.mapInArrow(run, schema)
 
