@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import pickle
 import re
 import time
 import zlib
@@ -461,6 +462,43 @@ def test_nearest_examples_are_exact():
         assert np.allclose([v for v, _ in e.nearest(e.vectors[i])], [-v for v, _ in want])
 
 
+def test_common_postings_are_met_together(monkeypatch):
+    """Queries of one lot get what each gets alone, and postings of common terms are not walked one by one."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{chr(97 + k)}x" for k in rng.integers(0, 26, 12)) + f" only{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    monkeypatch.setattr(toxicity, "COMMON", 26)
+    e = toxicity.Examples(texts, [int(i % 3 == 0) for i in range(300)], (1.0, 1.0))
+    dense = np.zeros((300, len(e.term)))
+    for i, (ids, x) in enumerate(e.vectors):
+        dense[i, ids] = x
+    walked = []
+    ranges = toxicity.ranges
+    monkeypatch.setattr(toxicity, "ranges", lambda a, b: (walked.append(int((b - a).sum())), ranges(a, b))[1])
+    lot = [*e.vectors, (np.zeros(0, int), np.zeros(0))]
+    got = e.nearest_of(lot)
+    # An example's own word and its five letters (two at most have these), and then the common terms of those that may be nearest.
+    assert max(walked[:300]) <= 2 + 12 and got[-1] == []
+    for i, near in enumerate(got[:300]):
+        want = sorted(((-v, k) for k, v in enumerate(dense @ dense[i]) if v > 0))[: toxicity.NEIGHBOURS]
+        assert np.allclose([v for v, _ in near], [-v for v, _ in want]) and near == e.nearest(e.vectors[i])
+    assert e.nearest_of([lot[-1]]) == [[]]
+
+
+def test_words_of_latin_texts_are_those_of_the_pattern():
+    odd = [chr(c) for c in (*range(0x600), 0x1E9E, 0x2160, 0x4E00, 0xFF21, 0x1D400, 0x1F600)]
+    assert all(toxicity.words_of(f"a{c}B") == toxicity.WORD.findall(f"a{c}B".lower()) for c in odd)
+
+
+def test_few_texts_are_strings_at_a_time(spark, monkeypatch):
+    """A lot is bounded by its number of texts and by their characters, and words of texts are not kept."""
+    lots = list(toxicity.together(["x" * 400_000, None, "", "y" * 700_000, *["z"] * 300]))
+    assert [len(x) for x in lots] == [4, 128, 128, 44] and [t for x in lots for t in x][:3] == ["x" * 400_000, None, ""]
+    e = toxicity.Examples(["some words here", "other words there"], [0, 1], (1.0, 1.0))
+    before = len(pickle.dumps(e.__dict__ | {"known": None})), {k: len(v) for k, v in vars(e.known).items() if hasattr(v, "__len__")}
+    e.scores([" ".join(f"new{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))])
+    assert before == (len(pickle.dumps(e.__dict__ | {"known": None})), {k: len(v) for k, v in vars(e.known).items() if hasattr(v, "__len__")})
+
+
 def test_rare_terms_of_examples_count():
     rng = np.random.default_rng(2)
     line = lambda: " ".join(f"w{chr(97 + k)}x" for k in rng.integers(0, 26, 12))

@@ -5,9 +5,12 @@ examples of both labels can be neighbours. The term weights are TF-IDF with a re
 factor learnt from the labels of the examples: the IDF counts in full if the term is
 significantly commoner in toxic examples than in others, and down to ``ORDINARY`` of it
 if it is not. The examples, a bounded sample of the labelled rows, stand in an inverted
-index whose postings lie in blocks of examples with the largest weight of each term in
-each block. A query visits blocks by falling upper bound and stops as soon as the next
-bound cannot change its nearest examples, so the neighbours are exact. Votes are weighted
+index. Postings of the commonest terms, which are most of what a query meets, lie in
+blocks of examples, as a table, with the largest weight of each term in each block; those
+of the others are short and read whole. A query visits the blocks of high upper bounds,
+and then those whose bound can still change its nearest examples; queries that visit a
+block do so together. What single precision leaves open is compared in double, so the
+neighbours are exact. Votes are weighted
 by similarity, and calibrated by isotonic regression over labelled rows that are no
 examples: they are not in the index and no weight was learnt from them.
 """
@@ -16,7 +19,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,10 +32,16 @@ from twinsieve.llm.shared import crc_of_id, single_threaded
 #: Bounds of the samples of each label: examples, and rows that votes are calibrated on.
 EXAMPLES, CALIBRATION = 2000, 500
 NEIGHBOURS, BLOCK = 15, 128
-#: A query first visits the blocks of at least this part of the highest bound, and ``OPENING`` at least; then it looks at the
-#: bounds again, and visits ``GROWTH`` times as many each time.
-HIGH, OPENING, GROWTH = 0.5, 2, 16
+#: A query first visits the blocks of at least this part of the highest bound.
+HIGH = 0.7
+#: Terms whose postings lie in blocks, and the most that a sum over them in single precision is off: vectors have length 1 and no negative weights.
+COMMON = 1024
+OFF = (COMMON + 8) * 2.0**-24
+#: Queries that visit blocks together, and how many characters of texts they have, about, unless one has more.
+TOGETHER, CHARACTERS = 128, 1_000_000
 WORD = re.compile(r"[^\W\d_]+")
+#: What a byte of Latin-1 is among words: itself if it is a letter to ``WORD``, else a blank.
+LETTERS = bytes(i if WORD.fullmatch(chr(i)) else 32 for i in range(256))
 PREFIXES = (5,)
 #: Mass of the prior in a vote, in units of squared similarity.
 PRIOR = 0.05
@@ -40,7 +50,11 @@ ORDINARY, GAIN = 0.1, 15.0
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text)
 
 
 def word_terms(word: str) -> list[str]:
@@ -54,23 +68,29 @@ def ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a - ends + n, n) + np.arange(ends[-1] if len(ends) else 0), n
 
 
-class _Known(dict):
-    """Words that were seen, by number, and the ids of the terms of each."""
+def together(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, as many as visit blocks together at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if len(some) == TOGETHER or size >= CHARACTERS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+class _Terms:
+    """Ids of the terms of words. No word is remembered: most that are not among the examples' come once."""
 
     def __init__(self, term: dict[str, int]):
-        self.term, self.ids = term, np.full((4096, 1 + len(PREFIXES)), -1, np.int64)
-
-    def __missing__(self, word: str) -> int:
-        i = self[word] = len(self)
-        if i == len(self.ids):
-            self.ids = np.concatenate([self.ids, np.full_like(self.ids, -1)])
-        for j, t in enumerate(word_terms(word)):
-            self.ids[i, j] = self.term.get(t, -1)
-        return i
-
-    def terms(self, words: list[str]) -> np.ndarray:
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out = self.ids[numbers].ravel()
+        self.whole = term.get
+        self.prefix = [(n, {t[:-1]: i for t, i in term.items() if len(t) == n + 1 and t[-1] == "*"}.get) for n in PREFIXES]
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        found = [map(self.whole, words, repeat(-1)), *(map(get, [w[:n] for w in words], repeat(-1)) for n, get in self.prefix)]
+        out = np.concatenate([np.fromiter(x, np.int64, len(words)) for x in found])
         return out[out >= 0]
 
 
@@ -88,7 +108,7 @@ class Examples:
         total = n0 * weight[0] + n1 * weight[1]
         a, b = np.array([pos[t] for t in terms], float), np.array([neg[t] for t in terms], float)
         self.idf = np.log(1 + total / (1 + b * weight[0] + a * weight[1])) * self.relevance(a, b, n1, n0)
-        self.known = _Known(self.term)
+        self.known = _Terms(self.term)
         vectors = [self.vector(bag) for bag in bags]
         # Examples with the same heaviest term are neighbours in the index, so that bounds of blocks differ.
         order = sorted(range(len(texts)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else -1, i))
@@ -98,7 +118,7 @@ class Examples:
         self._index(self.vectors)
         self.raw_at, self.score_at = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         y = np.array([label for _, label in others], int)
-        self._calibrate(np.array([self.vote(self.vector(words_of(t)))[0] for t, _ in others]), y, weight[y])
+        self._calibrate(np.array([raw for some in together([t for t, _ in others]) for raw, _ in self.votes([self.vector(words_of(t)) for t in some])]), y, weight[y])
 
     @staticmethod
     def relevance(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
@@ -114,13 +134,11 @@ class Examples:
         return self.__dict__ | {"known": None, "vectors": []}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, known=_Known(state["term"]))
+        self.__dict__.update(state, known=_Terms(state["term"]))
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Term ids and weights of unit length; both empty if no term is known."""
-        if len(self.known) > 500_000:
-            self.known = _Known(self.term)
-        terms = self.known.terms(words)
+        terms = self.known.ids(words)
         if not len(terms):
             return np.zeros(0, int), np.zeros(0)
         ids, many = np.unique(terms, return_counts=True)
@@ -128,65 +146,68 @@ class Examples:
         return ids, x / np.sqrt((x * x).sum())
 
     def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Postings by term and example; a cell is what a term has in one block, and only cells with postings are kept."""
+        """Postings of common terms by block, term and example, those of the others by term and example."""
         n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         ids = np.concatenate([v[0] for v in vectors] or [np.zeros(0, int)])
         val = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         who = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
+        common = np.argsort(-np.bincount(ids, minlength=len(self.term)), kind="stable")[:COMMON]
+        self.row = np.full(len(self.term), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        on = self.row[ids] >= 0
+        # What an example has of common terms, in double precision, and the table of it.
+        self.rows, self.values = self.row[ids[on]], val[on]
+        self.first = np.searchsorted(who[on], np.arange(n + 1))
+        self.table = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.table[who[on] // BLOCK, self.rows, who[on] % BLOCK] = self.values
+        self.most = np.zeros((len(common), self.blocks))
+        np.maximum.at(self.most, (self.rows, who[on] // BLOCK), self.values)
+        ids, val, who = ids[~on], val[~on], who[~on]
         order = np.argsort(ids, kind="stable")
-        ids, self.weight, self.who = ids[order], val[order], who[order]
-        cell = ids * self.blocks + self.who // BLOCK
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.start = np.append(first, len(cell))
-        self.block = self.who[first] // BLOCK
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(ids[first], np.arange(len(self.term) + 1))
+        self.weight, self.who = val[order], who[order].astype(np.int32)
+        self.start = np.searchsorted(ids[order], np.arange(len(self.term) + 1))
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k nearest examples with a similarity over 0: (similarity, example), exact; ties by example."""
-        ids, q = vector
-        if not len(ids):
-            return []
-        cells, n = ranges(self.cells[ids], self.cells[ids + 1])
-        q = np.repeat(q, n)
-        bound = np.bincount(self.block[cells], q * self.most[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
-        at, step = 0, max(OPENING, int((bound[order] >= HIGH * bound[order[0]]).sum()) if len(order) else 0)
-        while at < len(order):
-            # Sums in another order differ in the last digits, so a bound must be clearly below.
-            if len(best) == k and bound[order[at]] < best[-1][0] - 1e-12:
-                break
-            part = order[at : at + step]
-            if len(best) == k:
-                part = part[bound[part] >= best[-1][0] - 1e-12]
-            best = sorted(best + self._within(cells, q, part, k), key=lambda x: (-x[0], x[1]))[:k]
-            at, step = at + step, GROWTH * step
-        return best
-
-    def _within(self, cells: np.ndarray, q: np.ndarray, blocks: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k nearest examples of some blocks; cells: of the query's terms, q: the query's weight in each."""
-        if len(blocks) < self.blocks:
-            on = np.zeros(self.blocks, bool)
-            on[blocks] = True
-            on = on[self.block[cells]]
-            cells, q = cells[on], q[on]
-        at, n = ranges(self.start[cells], self.start[cells + 1])
-        s = np.bincount(self.who[at], np.repeat(q, n) * self.weight[at], len(self.y))
-        hit = np.flatnonzero(s > 0)
-        if len(hit) > k:
-            least = np.partition(s[hit], len(hit) - k)[len(hit) - k]
-            hit = hit[s[hit] >= least]
-        return sorted(zip(s[hit].tolist(), hit.tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
-
-    def vote(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(vector)
-        if not near:
-            return 0.0, near
-        s, i = np.array([x[0] for x in near]) ** 2, [x[1] for x in near]
-        mass = s * self.w[i] / self.w.min()
-        return float((mass * self.y[i]).sum() / (mass.sum() + PRIOR)), near
+        return self.nearest_of([vector], k)[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """``nearest`` of each of some vectors."""
+        m, width = len(vectors), self.blocks * BLOCK
+        s, common = np.zeros((m, width)), np.zeros((m, len(self.most)))
+        for j, (ids, q) in enumerate(vectors):
+            row = self.row[ids]
+            on = row >= 0
+            common[j, row[on]] = q[on]
+            ids = ids[~on]
+            at, n = ranges(self.start[ids], self.start[ids + 1])
+            s[j] = np.bincount(self.who[at], np.repeat(q[~on], n) * self.weight[at], width)
+        bound = s.reshape(m, self.blocks, BLOCK).max(axis=2) + common @ self.most
+        near, short, open_ = np.zeros((m, width)), common.astype(np.float32), bound > 0
+        part = open_ & (bound >= HIGH * bound.max(axis=1, keepdims=True))
+        while part.any():
+            for b in np.flatnonzero(part.any(axis=0)):
+                i, its = np.flatnonzero(part[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                near[i, its] = s[i, its] + short[i] @ self.table[b]
+            least = np.partition(near, max(0, width - k), axis=1)[:, max(0, width - k), None]
+            open_ &= ~part
+            part = open_ & (bound >= least - OFF)
+        i, who = np.nonzero((near > 0) & (near >= least - 2 * OFF)) if bound.any() else np.zeros((2, 0), int)
+        at, n = ranges(self.first[who], self.first[who + 1])
+        each = np.repeat(np.arange(len(who)), n)
+        sums = s[i, who] + np.bincount(each, common[i[each], self.rows[at]] * self.values[at], len(who))
+        order = np.lexsort((who, -sums, i))
+        ends = np.searchsorted(i, np.arange(m + 1))
+        sums, who = sums[order].tolist(), who[order].tolist()
+        return [list(zip(sums[a:b], who[a:b], strict=True))[:k] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        out = []
+        for near in self.nearest_of(vectors):
+            s, i = np.array([x[0] for x in near]) ** 2, [x[1] for x in near]
+            mass = s * self.w[i] / self.w.min() if near else s
+            out.append((float((mass * self.y[i]).sum() / (mass.sum() + PRIOR)) if near else 0.0, near))
+        return out
 
     def _calibrate(self, raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
         """Pool adjacent violators: the share of toxic rows by raw vote, never falling."""
@@ -207,9 +228,13 @@ class Examples:
         self.score_at = np.array([v for p in pools for v in [p[0] / p[1]] * 2])
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        raw, near = self.vote(self.vector(words_of(text or "")))
-        p = float(np.interp(raw, self.raw_at, self.score_at))
-        return min(1.0, max(0.0, 0.98 * p + 0.02 * raw)), near
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """The score and the nearest examples of each of some texts."""
+        found = self.votes([self.vector(words_of(t or "")) for t in texts])
+        p = [0.98 * float(np.interp(raw, self.raw_at, self.score_at)) + 0.02 * raw for raw, _ in found]
+        return [(min(1.0, max(0.0, x)), near) for x, (_, near) in zip(p, found, strict=True)]
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> Examples:
@@ -258,7 +283,11 @@ def rate_toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) ->
         single_threaded()
         m = model.value
         for batch in batches:
-            found = [m.score(t) for t in batch.column(columns.index("text")).to_pylist()]
+            texts = batch.column(columns.index("text"))
+            found = []
+            # A few texts at a time are strings, and nearest examples are kept only where they are asked for.
+            for some in together(t.as_py() for t in texts):
+                found += m.scores(some) if evidence else [(p, None) for p, _ in m.scores(some)]
             p = np.array([x[0] for x in found], np.float64)
             new = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
             if evidence:
