@@ -499,6 +499,20 @@ def test_few_texts_are_strings_at_a_time(spark, monkeypatch):
     assert before == (len(pickle.dumps(e.__dict__ | {"known": None})), {k: len(v) for k, v in vars(e.known).items() if hasattr(v, "__len__")})
 
 
+def test_scores_are_given_out_by_lots(spark):
+    """A batch of texts does not stand in a task a second time: its rows go out a lot at a time, whole and in order."""
+    import pyarrow as pa
+
+    data = spark.createDataFrame([(i, f"words {i}") for i in range(300)], "doc_id long, text string").coalesce(1)
+    taken = []
+    stub = type("Docs", (), {"mapInArrow": lambda _, run, schema: taken.append(run), "columns": ["doc_id", "text"], "schema": data.schema})()
+    stub.withColumn, stub.drop, stub.sparkSession, stub.select = lambda *_: stub, lambda *_: stub, spark, data.select
+    toxicity.rate_toxicity(stub, spark.createDataFrame([], "doc_id long, toxic int"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"words {i}" if i % 7 else None for i in range(300)])], ["doc_id", "text"])
+    out = list(taken[0](iter([batch])))
+    assert [len(x) for x in out] == [128, 128, 44] and pa.Table.from_batches(out).select(["doc_id", "text"]).equals(pa.Table.from_batches([batch]))
+
+
 def test_rare_terms_of_examples_count():
     rng = np.random.default_rng(2)
     line = lambda: " ".join(f"w{chr(97 + k)}x" for k in rng.integers(0, 26, 12))

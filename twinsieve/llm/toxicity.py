@@ -283,15 +283,16 @@ def rate_toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = False) ->
         single_threaded()
         m = model.value
         for batch in batches:
-            texts = batch.column(columns.index("text"))
-            found = []
-            # A few texts at a time are strings, and nearest examples are kept only where they are asked for.
-            for some in together(t.as_py() for t in texts):
-                found += m.scores(some) if evidence else [(p, None) for p, _ in m.scores(some)]
-            p = np.array([x[0] for x in found], np.float64)
-            new = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
-            if evidence:
-                new.append(pa.array([[{"label": int(m.y[i]), "similarity": s} for s, i in near] for _, near in found], pa.list_(pa.struct([("label", pa.int32()), ("similarity", pa.float64())]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*columns, *["score", "predicted", "evidence"][: len(new)]])
+            at = 0
+            # A lot is scored and given out before the next is looked at.
+            for some in together(t.as_py() for t in batch.column(columns.index("text"))):
+                found = m.scores(some)
+                p = np.array([x[0] for x in found], np.float64)
+                new = [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
+                if evidence:
+                    new.append(pa.array([[{"label": int(m.y[i]), "similarity": s} for s, i in near] for _, near in found], pa.list_(pa.struct([("label", pa.int32()), ("similarity", pa.float64())]))))
+                part = batch.slice(at, len(some))
+                at += len(some)
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*columns, *["score", "predicted", "evidence"][: len(new)]])
 
     return docs.mapInArrow(run, schema)
