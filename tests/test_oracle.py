@@ -1,9 +1,12 @@
 """Every core query that SQL can express equals DuckDB's result on the smallest tables."""
 
+import functools
+
 import duckdb
 import pytest
 
 from twinsieve import queries as core
+from twinsieve.operators import grouping
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,6 +29,17 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
+#: Queries on groups of codes.
+GROUPED = ("best_of_group",)
+
+
+@pytest.mark.parametrize("name", GROUPED)
+def test_groups_of_several_rounds(spark, duck, monkeypatch, name):
+    """A round of leaders holds far more codes than these tables; with 90 each, whole queries still equal their SQL."""
+    monkeypatch.setattr(grouping, "leaders_of_codes", functools.partial(grouping.leaders_of_codes, size=90))
+    test_query(spark, duck, name)
+
+
 def test_rest_runs(spark):
     for name in set(core.queries()) - set(core.oracle_sql()):
         assert core.queries()[name](spark, DATA).count() > 0, name
