@@ -30,7 +30,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries on groups of codes.
-GROUPED = ("best_of_group", "dedup_summary", "delete_group", "delete_items")
+GROUPED = ("best_of_group", "dedup_summary", "delete_group", "delete_items", "eval_accuracy")
 
 
 @pytest.mark.parametrize("name", GROUPED)
