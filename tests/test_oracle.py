@@ -30,7 +30,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries on groups of codes.
-GROUPED = ("best_of_group", "dedup_summary", "delete_group", "delete_items", "eval_accuracy", "eval_confusion", "eval_prf_macro", "group_names", "group_sizes_top8", "keep_one")
+GROUPED = ("best_of_group", "dedup_summary", "delete_group", "delete_items", "eval_accuracy", "eval_confusion", "eval_prf_macro", "group_names", "group_sizes_top8", "keep_one", "move_items")
 
 
 @pytest.mark.parametrize("name", GROUPED)
